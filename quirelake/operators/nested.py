@@ -97,12 +97,15 @@ def infer_schema(df: DataFrame, json_col: str, only: Sequence[str] | None = None
     return merged
 
 
-def levels_of(schema: dict[str, set[str]], member: Member) -> int:
-    """How many array levels `member` has in a merged schema: 1, or more where it contains itself."""
+def levels_of(schema: dict[str, set[str]], member: Member, record: bool = True) -> int:
+    """How many array levels `member` has in a merged schema: 1, or more where it contains itself.
+
+    In a schema of records only paths under the member count, in one of bare members all paths do.
+    """
     if not member.again:
         return 1
     marks = [p.replace("[]", "").split(".") for p in schema]
-    return 1 + max((sum(part == member.again for part in p) for p in marks if p[0] in (member.name, "")), default=0)
+    return 1 + max((sum(part == member.again for part in p) for p in marks if not record or p[0] == member.name), default=0)
 
 
 #: Fixed value. Put behind a text before parsing, since the parser itself stops at the end of the first value.
@@ -196,7 +199,7 @@ def flatten(
             )
             parts.append(F.filter(F.array(one), lambda r: F.size(r["node"]) > 0))
     rows = rows.select("row_id", F.inline(F.concat(*parts) if len(parts) > 1 else parts[0])).withColumn("depth", F.lit(1))
-    deepest = max([levels_of(schema or {}, m) for m in members], default=1)
+    deepest = max([levels_of(schema or {}, m, record) for m in members], default=1)
     again = {m.name: m.again for m in members if m.again}
     for level in range(1, deepest):
         # the row itself, and behind it the elements one level further down if it was found in the last step

@@ -25,22 +25,34 @@ def chunked(df: DataFrame, key: str, order: str, tie: str, chunk: int = CHUNK) -
     return df.withColumn("_pos", F.col("_start") + F.row_number().over(inside)).drop("_start")
 
 
-def scan(df: DataFrame, key: str, tie: str, value: Column, name: str, how: str, inclusive: bool = True) -> DataFrame:
-    """df of `chunked` with a running value over the rows of a key so far: how is 'min', 'max', 'sum' or 'last'.
+_OVER = {"min": F.min, "max": F.max, "sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}
 
-    'last' is the latest non-null value. `inclusive` says whether the row itself counts.
+
+def scans(df: DataFrame, key: str, wanted: dict[str, tuple[Column, str, bool]]) -> DataFrame:
+    """df of `chunked` with running values over the rows of a key so far, all in one pass: name -> (value, how, inclusive).
+
+    how is 'min', 'max', 'sum' or 'last', the latest non-null value; inclusive says whether the row itself counts.
     """
-    df = df.withColumn("_v", value)
-    whole = {"min": F.min("_v"), "max": F.max("_v"), "sum": F.sum("_v"), "last": F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_pos")))}[how]
-    per_chunk = df.groupBy(key, "_chunk").agg(whole.alias("_w"))
+    names = list(wanted)
+    df = df.withColumns({f"_v_{n}": wanted[n][0] for n in names})
+    value = lambda n: F.col(f"_v_{n}")
+    whole = {
+        n: F.max_by(value(n), F.when(value(n).isNotNull(), F.col("_pos"))) if wanted[n][1] == "last" else _OVER[wanted[n][1]](value(n))
+        for n in names
+    }
+    per_chunk = df.groupBy(key, "_chunk").agg(*[whole[n].alias(f"_w_{n}") for n in names])
     earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    over = {"min": F.min, "max": F.max, "sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}[how]
-    carried = per_chunk.select(F.col(key).alias("_k"), F.col("_chunk").alias("_c"), over("_w").over(earlier).alias("_carry"))
+    carried = per_chunk.select(
+        F.col(key).alias("_k"), F.col("_chunk").alias("_c"), *[_OVER[wanted[n][1]](F.col(f"_w_{n}")).over(earlier).alias(f"_carry_{n}") for n in names]
+    )
     df = df.join(carried, df[key].eqNullSafe(carried["_k"]) & (df["_chunk"] == carried["_c"])).drop("_k", "_c")
-    inside = Window.partitionBy(key, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    here = over("_v").over(inside)
-    joined = {
-        "min": F.least(here, "_carry"), "max": F.greatest(here, "_carry"), "last": F.coalesce(here, "_carry"),
-        "sum": F.coalesce(here, F.lit(0)) + F.coalesce("_carry", F.lit(0)),
-    }[how]
-    return df.withColumn(name, joined).drop("_v", "_carry")
+    out = {}
+    for n in names:
+        _, how, inclusive = wanted[n]
+        inside = Window.partitionBy(key, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        here, carry = _OVER[how](value(n)).over(inside), F.col(f"_carry_{n}")
+        out[n] = {
+            "min": F.least(here, carry), "max": F.greatest(here, carry), "last": F.coalesce(here, carry),
+            "sum": F.coalesce(here, F.lit(0)) + F.coalesce(carry, F.lit(0)),
+        }[how]
+    return df.withColumns(out).drop(*[f"_v_{n}" for n in names], *[f"_carry_{n}" for n in names])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as X
-from quirelake.operators.ordered import chunked, scan
+from quirelake.operators.ordered import chunked, scans
 
 DEEPEST = 6
 
@@ -21,15 +21,14 @@ def nested_levels(df: DataFrame, key: str = "book", order: str = "seq", tie: str
     if cap is not None:
         raw = F.least(raw, F.lit(cap))
     rows = chunked(df, key, order, tie)
-    rows = scan(rows, key, tie, raw - F.col("_pos"), "_low", "min")
+    rows = scans(rows, key, {"_low": (raw - F.col("_pos"), "min", True)})
     return rows.withColumn("nested", F.least(F.col("_pos"), F.col("_pos") + F.col("_low"))).drop("_low")
 
 
 def with_parents(df: DataFrame, key: str = "book", order: str = "seq", tie: str = "node_id", level: str = "level") -> DataFrame:
     """(key, order, tie, nested, parent): parent is the latest earlier row one level up, null at level 1."""
     rows = nested_levels(df, key, order, tie, level).select(key, order, tie, "_chunk", "_pos", "nested")
-    for depth in range(1, DEEPEST):
-        rows = scan(rows, key, tie, F.when(F.col("nested") == depth, F.col(tie)), f"_at{depth}", "last", inclusive=False)
+    rows = scans(rows, key, {f"_at{d}": (F.when(F.col("nested") == d, F.col(tie)), "last", False) for d in range(1, DEEPEST)})
     parent = F.lit(None).cast(dict(df.dtypes)[tie])
     for depth in range(1, DEEPEST):
         parent = F.when(F.col("nested") == depth + 1, F.col(f"_at{depth}")).otherwise(parent)
@@ -108,15 +107,15 @@ def keyed(df: DataFrame, key: Column, page: str, order: str, tie: str, book: str
 def backward_steps(df: DataFrame, key: str = "book", order: str = "seq", tie: str = "toc_id", value: str = "printed_page") -> DataFrame:
     """(key, rows, steps): how often a value is smaller than the one of the row before it. Rows with a null value are passed over."""
     rows = chunked(df.where(F.col(value).isNotNull()).select(key, order, tie, value), key, order, tie)
-    rows = scan(rows, key, tie, F.col(value), "_before", "last", inclusive=False)
+    rows = scans(rows, key, {"_before": (F.col(value), "last", False)})
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(value) < F.col("_before")).alias("steps"))
 
 
 def longest_run(df: DataFrame, key: str = "book", order: str = "seq", tie: str = "toc_id", first: str = "printed_page", second: str = "pdf_page") -> DataFrame:
     """(key, longest): the most rows in a row in which both values rise by exactly 1. Rows with a null value are passed over."""
     rows = chunked(df.where(F.col(first).isNotNull() & F.col(second).isNotNull()).select(key, order, tie, first, second), key, order, tie)
-    rows = scan(rows, key, tie, F.struct(first, second), "_before", "last", inclusive=False)
+    rows = scans(rows, key, {"_before": (F.struct(first, second), "last", False)})
     step = (F.col(first) == F.col("_before")[first] + 1) & (F.col(second) == F.col("_before")[second] + 1)
-    rows = scan(rows, key, tie, F.when(F.coalesce(step, F.lit(False)), 0).otherwise(1), "_run", "sum")
+    rows = scans(rows, key, {"_run": (F.when(F.coalesce(step, F.lit(False)), 0).otherwise(1), "sum", True)})
     runs = rows.groupBy(key, "_run").agg(F.count(F.lit(1)).alias("n"))
     return runs.groupBy(key).agg(F.max("n").alias("longest"))
