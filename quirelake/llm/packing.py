@@ -3,7 +3,7 @@
 Sum-of-squares online packing: a container's fill level is the tokens in it, N(h) the number of open containers at level h.
 Each text goes to the level (or an empty container) that gives the smallest sum of N(h)^2 over the partly filled levels,
 which keeps all levels thinly populated so that a fit for any coming size is at hand. The level array has one cell per token of capacity.
-At the end the few containers that are still open are joined where they fit together.
+At the end, when nothing more will come, the containers that are still open are closed up by best fit, largest first.
 
 The order of decisions is inherent, so texts are first spread over shards of bounded size by a hash, each shard packs on
 its own and costs at most its open containers. Only (id, size) pairs travel; the texts stay at the scan.
@@ -11,6 +11,8 @@ its own and costs at most its open containers. Only (id, size) pairs travel; the
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,28 +54,35 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
         if to < capacity:
             open_at[to].append(box)
             counts[to] += 1
-    return _joined(out, open_at, capacity)
-
-
-def _joined(boxes: np.ndarray, open_at: list[list[int]], capacity: int) -> np.ndarray:
-    """Join open containers, the fullest first, each with the fullest others that still fit."""
-    left = {h: list(b) for h, b in enumerate(open_at) if b}
-    moved: dict[int, int] = {}
-    for h in range(capacity - 1, 0, -1):
-        while left.get(h):
-            box = left[h].pop()
-            room = capacity - h
-            fit = room
-            while fit > 0:
-                fit = min(fit, room)
-                if left.get(fit):
-                    moved[left[fit].pop()] = box
-                    room -= fit
-                else:
-                    fit -= 1
-    if not moved:
+    return _closed(out, sizes, {b for boxes in open_at for b in boxes}, capacity)
+
+
+def _closed(boxes: np.ndarray, sizes: np.ndarray, still_open: set[int], capacity: int) -> np.ndarray:
+    """At the end nothing more will come: the items of containers still open are placed anew, the largest first, each where the
+    least room is left. That stands only if it takes fewer containers."""
+    items = np.flatnonzero(np.isin(boxes, list(still_open)))
+    if len(items) < 2:
         return boxes
-    return np.array([moved.get(b, b) for b in boxes.tolist()], dtype=np.int64)
+    names = sorted(still_open)
+    rooms: list[tuple[int, int]] = []  # (room, container), sorted
+    placed = {}
+    used = 0
+    for i in sorted(items.tolist(), key=lambda i: (-sizes[i], i)):
+        s = int(sizes[i])
+        k = bisect.bisect_left(rooms, (s, -1))
+        if k < len(rooms):
+            room, box = rooms.pop(k)
+        elif used == len(names) - 1:
+            return boxes
+        else:
+            room, box = capacity, names[used]
+            used += 1
+        placed[i] = box
+        bisect.insort(rooms, (room - s, box))
+    out = boxes.copy()
+    for i, box in placed.items():
+        out[i] = box
+    return out
 
 
 def pieces(sizes: pd.Series, capacity: int) -> pd.DataFrame:
