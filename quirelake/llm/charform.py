@@ -45,8 +45,10 @@ _NOTHING = r"\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}\x{AD}\x{34F}\x{
 _COMPAT = r"\x{17F}\x{132}\x{133}\x{13F}\x{140}\x{149}\x{1C4}-\x{1CC}\x{1F1}-\x{1F3}\x{340}\x{341}\x{343}\x{374}\x{37E}\x{387}\x{1F71}-\x{1FFD}\x{2024}\x{2100}-\x{214F}\x{2160}-\x{217F}\x{2E80}-\x{2FD5}\x{3131}-\x{318E}\x{F900}-\x{FAFF}\x{FB00}-\x{FDFF}\x{FE52}\x{FE70}-\x{FEFC}\x{FF0E}\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FF61}\x{FF66}-\x{FFDC}\x{1D400}-\x{1D7FF}\x{1EE00}-\x{1EEFF}\x{2F800}-\x{2FA1D}"
 _MARKS = r"\p{M}\x{1161}-\x{11FF}"
 QUICK = rf"[{_SPACES}{_NOTHING}{_COMPAT}{_MARKS}]"
-#: Words of two alphabets, or two alphabets in one text.
-MIXED = r"\p{IsLatin}[\p{IsCyrillic}\p{IsGreek}]|[\p{IsCyrillic}\p{IsGreek}]\p{IsLatin}|\p{IsGreek}\p{IsCyrillic}|\p{IsCyrillic}\p{IsGreek}|(?s)\p{IsCyrillic}.*[\p{IsLatin}\p{IsHan}]|(?s)[\p{IsLatin}\p{IsHan}].*\p{IsCyrillic}|(?s)\p{IsLatin}.*\p{IsGreek}{2}|\p{IsGreek}{2}(?s).*\p{IsLatin}"
+# Alphabets, and what a value with letters of two of them has: Cyrillic beside Latin or ideographs, or Greek letters that don't stand alone.
+_LATIN, _GREEK, _CYRILLIC = r"A-Za-z\x{C0}-\x{24F}\x{1E00}-\x{1EFF}\x{2C60}-\x{2C7F}", r"\x{370}-\x{3FF}\x{1F00}-\x{1FFF}", r"\x{400}-\x{52F}\x{A640}-\x{A69F}"
+_IDEOGRAPHS = r"\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{31FFF}"
+GREEK_INSIDE = rf"[{_GREEK}][{_GREEK}{_LATIN}{_CYRILLIC}]|[{_LATIN}{_CYRILLIC}][{_GREEK}]"
 
 _PY_NOTHING = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", _NOTHING) + "]")
 _PY_SPACES = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", _SPACES) + "]")
@@ -167,7 +169,9 @@ def canonical(text: str) -> str:
 
 def is_unstable(text: Column) -> Column:
     """Quick check: false for values that are surely in the form, true for those that have to be looked at."""
-    return text.rlike(QUICK) | text.rlike(MIXED)
+    beyond = text.rlike(r"[^\x00-\x7F]")
+    two = text.rlike(f"[{_CYRILLIC}]") & text.rlike(f"[{_LATIN}{_IDEOGRAPHS}]")
+    return (beyond & (text.rlike(QUICK) | two | text.rlike(GREEK_INSIDE))) | text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
 
 
 @F.pandas_udf(T.StringType())
