@@ -5,7 +5,7 @@ is done for the segments that can come from such an error only, so a title that
 candidates the one with the lowest garbling cost counts, and only if the cost drops; the result may be garbled
 again, so the step repeats. The cost knows no words of any language: it charges what correct text lacks, such as control
 and replacement characters, box drawing, symbols or capitals inside words, and ideographs that are rare or stuck into
-Latin words. Texts of ASCII characters only are passed by on the JVM side.
+Latin words. Texts that have nothing but ordinary letters in their ordinary places are passed by on the JVM side.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -277,17 +277,36 @@ def _examine(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([examine(t) for t in texts], columns=["garbled", "restored", "layers"])
 
 
+# Letters and marks that correct titles of many languages have; garbled ones have others, or these where they don't belong.
+_SAFE = r"\x00-\x7Fà-öø-ÿœßÀ-ÂÄÇ-ÏÑ-ÖØ-ÝŒА-яЁё\x{3400}-\x{9FFF}“”„’–—…·：，（）。？！、；《》①-⑳²³°αβ§«»€£"
+_ODD_PLACE = (
+    r"[À-ÿœŒ]{2}|[a-z0-9à-ÿ][À-ÞŒ]|[À-ÞŒ](?![A-Za-zÀ-Þ’ ])|[0-9А-я][à-ÿ]|[а-яё][А-ЯЁ]|[A-Za-zÀ-ÿ][А-яЁё]|[А-яЁё][A-Za-zÀ-ÿ]|[a-zà-ÿ][\x{3400}-\x{9FFF}]|[\x{3400}-\x{9FFF}][a-zà-ÿ]"
+    r"|[А-яЁё][§°€£«„“]|[“”„’–—…·«»€£°§²³][À-ÿœŒ]|[À-ÿœŒ][“”„‘…·«€£°§³]|[ÂÃâÐÑŽ][–—’]|(?U)\b[а-яё]+\b(?=.*[А-ЯЁ]{3})|(?U)\b[а-яё][А-ЯЁ]"
+)
+#: Ideographs that take the place of letters and ideographs in UTF-8 read as GBK and that correct text hardly has.
+_STRAY = "".join(
+    ch for lead in (*range(0xC2, 0xDF), *range(0xE3, 0xEA), 0xEF) for trail in range(0x80, 0xC0)
+    if (lead >= 0xE3 or trail < 0xA1) and len(ch := bytes([lead, trail]).decode("gbk", "ignore")) == 1
+)
+
+
+def doubtful(text: Column) -> Column:
+    """JVM-side: false for texts that are surely not garbled, true for those that have to be looked at."""
+    stray = F.translate(text, _STRAY, "") != text
+    return text.rlike(r"[^\x00-\x7F]") & (text.rlike(f"[^{_SAFE}]") | text.rlike(_ODD_PLACE) | stray)
+
+
 def found(df: DataFrame, row_id: str, column: str) -> DataFrame:
     """(row_id, text, restored, layers): the garbled texts, `restored` null where something is lost for good.
 
     Null, empty and ASCII texts are never garbled; repeated rows count each; other columns are not read.
     """
-    doubtful = df.select(F.col(row_id).alias("row_id"), F.col(column).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    return doubtful.withColumn("r", _examine("text")).where("r.garbled").select("row_id", "text", F.col("r.restored").alias("restored"), F.col("r.layers").alias("layers"))
+    looked_at = df.select(F.col(row_id).alias("row_id"), F.col(column).alias("text")).where(doubtful(F.col("text")))
+    return looked_at.withColumn("r", _examine("text")).where("r.garbled").select("row_id", "text", F.col("r.restored").alias("restored"), F.col("r.layers").alias("layers"))
 
 
 def restore(df: DataFrame, column: str) -> DataFrame:
     """df with `column` restored where possible, and booleans <column>_garbled and <column>_restored beside it."""
-    out = df.withColumn("_r", _examine(F.when(F.col(column).rlike(r"[^\x00-\x7F]"), F.col(column))))
+    out = df.withColumn("_r", _examine(F.when(doubtful(F.col(column)), F.col(column))))
     out = out.withColumn(f"{column}_garbled", F.coalesce("_r.garbled", F.lit(False))).withColumn(f"{column}_restored", F.col("_r.restored").isNotNull())
     return out.withColumn(column, F.coalesce("_r.restored", column)).drop("_r")
