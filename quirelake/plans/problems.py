@@ -93,7 +93,53 @@ _KEYED = f"select *, case when regexp_full_match({_KEY}, '[0-9a-f]{{32}}') then
 _RANKED = f"select *, row_number() over (partition by message_key order by delivered_at nulls last, log_id) as rn from ({_KEYED})"
 _ONE = f"select log_id, message_key, source, status from ({_RANKED}) where message_key is null or rn = 1"
 
+
+
+def _unwrapped(v: str) -> str:
+    """JSON that a text holds counts as what it holds."""
+    return f"case when json_type({v}) = 'VARCHAR' then case when json_valid(json_extract_string({v}, '$')) then json_extract_string({v}, '$')::json end else {v} end"
+
+
+def _listed(v: str) -> str:
+    return f"case json_type({v}) when 'OBJECT' then json_array({v}) when 'ARRAY' then {v} end"
+
+
+_FULL = "json_type(x) = 'OBJECT' and len(json_keys(x)) > 0"
+_P1 = f"""
+with recursive doc as (select log_id, case when json_valid(payload) then payload::json end as d from report_log),
+member as (select log_id, m, {_unwrapped("json_extract(d, '$.' || m)")} as v from doc, (values ('entries'), ('existing_outline_check'), ('api_usage')) as t(m)),
+lists as (select log_id, {_listed("v")} as l from member where m = 'entries'),
+entry as (select log_id, i, json_extract(l, '$[' || (i - 1) || ']') as x from lists, unnest(generate_series(1, json_array_length(l)::bigint)) as u(i)),
+tree(row_id, path, parent, l) as (
+  select preview_id, 'bookmarks', '', {_listed("b")} from (select preview_id, case when json_valid(bookmarks) then bookmarks::json end as b from previews)
+  union all
+  select row_id, path || '[' || i || '].children', path || '[' || i || ']', {_listed("json_extract(x, '$.children')")}
+  from (select row_id, path, i, json_extract(l, '$[' || (i - 1) || ']') as x from tree, unnest(generate_series(1, json_array_length(l)::bigint)) as u(i)) where {_FULL}
+),
+node as (select row_id, path || '[' || i || ']' as item_path, parent as parent_path, json_extract(l, '$[' || (i - 1) || ']') as x from tree, unnest(generate_series(1, json_array_length(l)::bigint)) as u(i))
+select 'report_log' as src_table, log_id as row_id, 'entries[' || i || ']' as item_path, '' as parent_path from entry where {_FULL}
+union all select 'report_log', log_id, m, '' from (select log_id, m, v as x from member where m <> 'entries') where {_FULL}
+union all select 'previews', row_id, item_path, parent_path from node where {_FULL}
+"""
+_NAMED = " ".join(f"when name in ({', '.join(repr(n) for n in r.names)}) then '{r.field}'" for r in drift.RENAMES)
+_P2 = f"""
+with doc as (select job_id, file_no, payload::json as d from report_log where json_valid(payload) and json_type(payload) = 'OBJECT' and job_id is not null and file_no is not null),
+names as (select job_id, file_no, d, unnest(json_keys(d)) as name from doc),
+held as (select distinct job_id, file_no, case {_NAMED} end as field_name, name, case json_type(d, '$."' || name || '"') when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then null else 'number' end as kind from names),
+fields as (select * from held where field_name is not null and kind is not null),
+files as (select distinct job_id, file_no from report_log where job_id is not null and file_no is not null),
+pairs as (select f.job_id, f.file_no, t.field_name, o.name as old_name, o.kind as old_kind, n.name as new_name, n.kind as new_kind from files f join files g on g.job_id = f.job_id and g.file_no = f.file_no - 1
+  cross join (values ('toc_bookmark'), ('review_acceptable'), ('toc_corrections')) as t(field_name)
+  left join fields o on o.job_id = g.job_id and o.file_no = g.file_no and o.field_name = t.field_name left join fields n on n.job_id = f.job_id and n.file_no = f.file_no and n.field_name = t.field_name)
+select job_id, file_no::bigint as file_no, field_name, 'added' as change from pairs where old_name is null and new_name is not null
+union all select job_id, file_no::bigint, field_name, 'removed' from pairs where old_name is not null and new_name is null
+union all select job_id, file_no::bigint, field_name, 'renamed' from pairs where old_name <> new_name
+union all select job_id, file_no::bigint, field_name, 'retyped' from pairs where old_kind <> new_kind
+"""
+
 SQL: dict[str, str] = {
+    "p1_found": _P1,
+    "p2_found": _P2,
     "p5_found": f"select log_id from ({_RANKED}) where message_key is not null and rn > 1",
     "p5_messages": _ONE,
     "p5_incremental": _ONE,
