@@ -70,19 +70,25 @@ def _bytes(run: str, encoding: str) -> bytes | None:
     return b"".join(out)
 
 
-def _runs(text: str, encoding: str) -> list[tuple[int, int]]:
-    """Where the text has non-ASCII characters that the encoding can hold."""
+@lru_cache(maxsize=65536)
+def _holds(ch: str, encoding: str) -> bool:
+    return _bytes(ch, encoding) is not None
+
+
+@lru_cache(maxsize=256)
+def _runs(text: str, encoding: str) -> tuple[tuple[int, int, bytes], ...]:
+    """Where the text has non-ASCII characters that the encoding can hold, with their bytes."""
     out = []
     for m in _HIGH.finditer(text):
         start = None
         for i in range(m.start(), m.end() + 1):
-            ok = i < m.end() and _bytes(text[i], encoding) is not None
+            ok = i < m.end() and _holds(text[i], encoding)
             if ok and start is None:
                 start = i
             elif not ok and start is not None:
-                out.append((start, i))
+                out.append((start, i, _bytes(text[start:i], encoding)))
                 start = None
-    return out
+    return tuple(out)
 
 
 def _decoded(raw: bytes, encoding: str, many: bool) -> str | None:
@@ -105,8 +111,7 @@ def _decoded(raw: bytes, encoding: str, many: bool) -> str | None:
 def recoded(text: str, read_as: str, written_in: str) -> str | None:
     """The text with each segment that can be one decoded as intended, None if there is no such segment."""
     out, at, changed = [], 0, False
-    for a, b in _runs(text, read_as):
-        raw = _bytes(text[a:b], read_as)
+    for a, b, raw in _runs(text, read_as):
         if written_in in _MANY and len(raw) % 2 and b < len(text) and "@" <= text[b] <= "~":
             new = _decoded(raw + text[b].encode(), written_in, True)
             b += new is not None
