@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as X
-from quirelake.operators import hierarchy, layout, offsets, outline, reports
+from quirelake.operators import hierarchy, layout, offsets, outline, reports, responses
+from quirelake.operators.nested import whole_json
 from quirelake.session import table
 from quirelake.sources.files import content_hash
 
@@ -298,3 +299,31 @@ def title_parts(spark, sf):
 def content_hashes(spark, sf):
     h = content_hash(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", h.alias("sha256"), F.substring(h, 1, 20).alias("short_id"))
+
+
+@query()
+def page_line_groups(spark, sf):
+    """Lines of each page put together from their words' places; every stored line counts as a word here."""
+    words = table(spark, sf, "page_lines").select(
+        "book", F.col("page_number").alias("page"), "text", "x", "y", (F.col("right_edge") - F.col("x")).alias("width"), (F.col("bottom") - F.col("y")).alias("height")
+    )
+    return layout.group_words(words, WIDTH)
+
+
+@query()
+def response_entries(spark, sf):
+    """The entries of each readable report, checked like a model's answer about contents pages."""
+    doc = whole_json(F.col("payload"))
+    entries = F.to_json(F.try_variant_get(doc, "$.entries", "variant"))
+    answers = table(spark, sf, "report_log").select("log_id", F.try_variant_get(doc, "$.page_count", "int").alias("pages"), F.concat(F.lit('{"is_toc": true, "entries": '), entries, F.lit("}")).alias("answer"))
+    return responses.contents_entries(answers.where("answer is not null"), "answer", "log_id", "pages")
+
+
+@query()
+def label_reuse(spark, sf):
+    """Which labels of the pages that contents rows point to are known from batches of four pages that were read before."""
+    labels = layout.edge_labels(table(spark, sf, "page_lines"), HEIGHT)
+    shape = F.struct("page", "numbering", "value")
+    batches = labels.groupBy("book", F.floor(F.col("page") / 4).alias("b")).agg(F.collect_set("page").alias("pages"), F.array_sort(F.collect_list(shape)).alias("labels"))  # four pages
+    needed = table(spark, sf, "toc_rows").where("pdf_page is not null").select("book", F.col("pdf_page").alias("page"))
+    return responses.reusable_labels(needed, batches)
