@@ -56,10 +56,15 @@ def group_words(words: DataFrame, width: float) -> DataFrame:
     """(book, page, line, text, x, y, right_edge, bottom): the words of each page in lines, column by column.
 
     words: (book, page, text, x, y, width, height). A page is read in two columns if both have letters and the middle is
-    nearly empty. Words without text or place are left out. A page is a bounded group.
+    nearly empty. Words without text, x, y or height are left out; a word without a width gets that of its characters, each as wide as
+    the median of the page's other words, or half its height where no word has a width. A page is a bounded group.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["width"].isna().any():
+            n = pdf["text"].str.len()
+            each = (pdf["width"] / n)[n > 0].median()
+            pdf = pdf.assign(width=pdf["width"].fillna(n * (pdf["height"] * 0.5 if pd.isna(each) else each)))
         counts = pdf["text"].map(lambda t: sum(c.isalpha() for c in t))
         left, right = counts[pdf["x"] < 0.45 * width].sum(), counts[pdf["x"] > 0.55 * width].sum()
         middle = counts.sum() - left - right
@@ -73,7 +78,7 @@ def group_words(words: DataFrame, width: float) -> DataFrame:
         return pd.DataFrame([(pdf["book"].iloc[0], pdf["page"].iloc[0], i + 1, *r) for i, r in enumerate(out)], columns=["book", "page", "line", "text", "x", "y", "right_edge", "bottom"])
 
     slim = words.select("book", F.col("page").cast("bigint").alias("page"), "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")])
-    lines = slim.dropna(subset=["text", "x", "y", "width", "height"]).groupBy("book", "page").applyInPandas(one, "book string, page bigint, line bigint, text string, x double, y double, right_edge double, bottom double")
+    lines = slim.dropna(subset=["text", "x", "y", "height"]).groupBy("book", "page").applyInPandas(one, "book string, page bigint, line bigint, text string, x double, y double, right_edge double, bottom double")
     return lines.withColumn("text", X.clean_text(F.col("text")))
 
 

@@ -79,6 +79,17 @@ def test_words_to_lines(spark):
     assert layout.group_words(df.where("page > 5"), 400).count() == 0
 
 
+def test_words_without_width(spark):
+    schema = "book string, page int, text string, x double, y double, width double, height double"
+    words = [("b", 1, "Hello", 20.0, 50.0, None, 10.0), ("b", 1, "World", 80.0, 51.0, 50.0, 10.0), ("b", 1, "9", 300.0, 51.0, None, 10.0)]
+    alone = [("b", 2, "Only", 20.0, 50.0, None, 10.0), ("b", 2, "", 90.0, 50.0, None, 10.0)]
+    split = [("b", 3, "lefttext", x, float(y), None, 10.0) for x in (10.0, 300.0) for y in (10, 30, 50)]
+    gone = [("b", 4, "x", None, 1.0, 1.0, 1.0), ("b", 4, "x", 1.0, None, 1.0, 1.0), ("b", 4, "x", 1.0, 1.0, 1.0, None), ("b", 4, None, 1.0, 1.0, 1.0, 1.0)]
+    out = layout.group_words(spark.createDataFrame(words + alone + split + gone, schema), 400).orderBy("page", "line").collect()
+    assert [(r["page"], r["text"], r["right_edge"]) for r in out[:2]] == [(1, "Hello World   9", 310.0), (2, "Only", 90.0)]
+    assert [(r["page"], r["x"]) for r in out[2:]] == [(3, 10.0)] * 3 + [(3, 300.0)] * 3
+
+
 def test_edge_labels(spark):
     rows = [("b", 1, "12", 5.0, 15.0), ("b", 2, "iv Title here", 590.0, 600.0), ("b", 3, "13", 300.0, 310.0), ("b", 4, None, 1.0, 2.0), ("b", 1, "12", 5.0, 15.0)]
     df = spark.createDataFrame(rows, "book string, page_number int, text string, y double, bottom double")
