@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.operators.nested import whole_json
+from quirelake.operators.nested import _as_list, whole_json
 
 USAGE = ("prompt_tokens", "completion_tokens", "total_tokens", "reported_responses", "unreported_responses")
 
@@ -75,12 +75,15 @@ def gaps(df: DataFrame, key: str = "book", page: str = "source_page") -> DataFra
 
 
 def flat_summary(df: DataFrame, payload: str = "payload", row_id: str = "log_id") -> DataFrame:
-    """One flat row per readable record: lists joined to text, counts of lists, nested members pulled out."""
+    """One flat row per readable record: lists joined to text, counts of lists, nested members pulled out.
+
+    Entries held as JSON text count as what it holds, a bare object as a list of one.
+    """
     doc = whole_json(F.col(payload).cast("string"))
     rows = df.select(F.col(row_id).alias(row_id), doc.alias("d")).where("d is not null")
     get = lambda path, kind: F.try_variant_get("d", f"$.{path}", kind)
     return rows.select(
         row_id, get("source", "string").alias("source"), get("status", "string").alias("status"), get("page_count", "bigint").alias("page_count"),
-        F.array_join(get("toc_pages", "array<bigint>"), ",").alias("toc_pages"), F.coalesce(F.size(get("entries", "array<variant>")), F.lit(0)).cast("bigint").alias("entry_count"),
+        F.array_join(get("toc_pages", "array<bigint>"), ",").alias("toc_pages"), F.coalesce(F.size(_as_list(get("entries", "variant"))), F.lit(0)).cast("bigint").alias("entry_count"),
         F.array_join(get("warnings", "array<string>"), "; ").alias("warnings"), get("offsets.arabic", "bigint").alias("arabic_offset"), get("error", "string").alias("error"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import text as X
 from quirelake.operators import hierarchy, layout, offsets, outline, reports, responses
-from quirelake.operators.nested import whole_json
+from quirelake.operators.nested import _as_list, whole_json
 from quirelake.session import table
 from quirelake.sources.files import content_hash
 
@@ -312,9 +312,13 @@ def page_line_groups(spark, sf):
 
 @query()
 def response_entries(spark, sf):
-    """The entries of each readable report, checked like a model's answer about contents pages."""
+    """The entries of each readable report, checked like a model's answer about contents pages.
+
+    Entries held as JSON text count as what it holds, a bare object as a list of one; what is no list then stays as it is, an error.
+    """
     doc = whole_json(F.col("payload"))
-    entries = F.to_json(F.try_variant_get(doc, "$.entries", "variant"))
+    held = F.try_variant_get(doc, "$.entries", "variant")
+    entries = F.coalesce(F.to_json(_as_list(held)), F.to_json(held))
     answers = table(spark, sf, "report_log").select("log_id", F.try_variant_get(doc, "$.page_count", "int").alias("pages"), F.concat(F.lit('{"is_toc": true, "entries": '), entries, F.lit("}")).alias("answer"))
     return responses.contents_entries(answers.where("answer is not null"), "answer", "log_id", "pages")
 

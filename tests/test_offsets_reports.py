@@ -1,6 +1,7 @@
 import json
 
 from quirelake.operators import layout, offsets, reports, responses
+from quirelake.plans import catalog
 from quirelake.streaming import reports as live
 
 
@@ -110,6 +111,17 @@ def test_response_checks(spark):
     assert [r["title"] for r in out if r["position"] == 11] == ["a b"]
 
 
+def test_entries_in_any_shape(spark, tmp_path):
+    entry = lambda title: {"title": title, "printed_page": "3", "level": 1}
+    held = [[entry("a"), None, entry("b")], json.dumps([entry("a"), entry("")]), entry("a"), json.dumps(entry("a")), "no json", None, [], 5]
+    data = [(i, json.dumps({"page_count": 20, "entries": h})) for i, h in enumerate(held)] + [(8, "{}"), (9, "bad"), (10, None)]
+    spark.createDataFrame(data, "log_id long, payload string").write.parquet(str(tmp_path / "report_log.parquet"))
+    got = sorted(((r["row_id"], r["position"], r["outcome"]) for r in catalog.response_entries(spark, str(tmp_path)).collect()), key=repr)
+    assert got == [(0, 1, "keep"), (0, 2, "title"), (0, 3, "keep"), (1, 1, "keep"), (1, 2, "title"), (2, 1, "keep"), (3, 1, "keep"), (4, None, "entries"), (5, None, "entries"), (7, None, "entries")]
+    counts = {r["log_id"]: r["entry_count"] for r in catalog.report_summary(spark, str(tmp_path)).collect()}
+    assert counts == {0: 3, 1: 2, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0}
+
+
 def test_reusable_labels(spark):
     batches = spark.createDataFrame([("b", [4, 5, 6], [(4, "arabic", 1)]), ("b", [5, 7], [(5, "arabic", 9)]), ("b", [7], [(7, "arabic", 3)]), ("b", [4], [(4, "arabic", 1)])], "book string, pages array<int>, labels array<struct<page:int,numbering:string,value:int>>")
     needed = spark.createDataFrame([("b", p) for p in (4, 5, 6, 8)], "book string, page int")
