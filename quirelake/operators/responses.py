@@ -66,12 +66,13 @@ def reusable_labels(needed: DataFrame, batches: DataFrame) -> DataFrame:
     """(book, page, state, numbering, value): what earlier batches tell about needed pages.
 
     batches: (book, pages array<int>, labels array<struct<page, numbering, value>>). state is 'known', 'empty' (covered, without a
-    label), 'conflict' (batches disagree) or 'missing'.
+    label), 'conflict' (batches disagree on the labels of the page) or 'missing'. A known page has a row for each of its labels.
     """
-    shape = F.struct(F.col("l.numbering").alias("numbering"), F.col("l.value").alias("value"))
-    covered = batches.select("book", F.explode("pages").alias("page"), "labels")
-    told = covered.select("book", "page", F.try_element_at(F.filter("labels", lambda x: x["page"] == F.col("page")), F.lit(1)).alias("l"))
-    seen = told.groupBy("book", "page").agg(F.count(F.lit(1)).alias("n"), F.count("l").alias("with"), F.countDistinct(F.when(F.col("l").isNotNull(), shape)).alias("kinds"), F.min(F.when(F.col("l").isNotNull(), shape)).alias("one"))
+    covered = batches.select("book", F.explode("pages").alias("page"), F.coalesce("labels", F.array()).alias("labels"))
+    own = F.transform(F.filter("labels", lambda x: x["page"] == F.col("page")), lambda x: F.struct(x["numbering"].alias("numbering"), x["value"].alias("value")))
+    told = covered.select("book", "page", F.array_sort(F.array_distinct(own)).alias("l"))
+    seen = told.groupBy("book", "page").agg(F.min("l").alias("one"), F.max("l").alias("other"))
     joined = needed.select("book", "page").distinct().join(seen, ["book", "page"], "left")
-    state = F.when(F.col("n").isNull(), "missing").when(F.col("with") == 0, "empty").when((F.col("kinds") > 1) | (F.col("with") < F.col("n")), "conflict").otherwise("known")
-    return joined.select("book", "page", state.alias("state"), F.when(state == "known", F.col("one.numbering")).alias("numbering"), F.when(state == "known", F.col("one.value")).alias("value"))
+    state = F.when(F.col("one").isNull(), "missing").when(F.col("one") != F.col("other"), "conflict").when(F.size("one") == 0, "empty").otherwise("known")
+    out = joined.select("book", "page", state.alias("state"), F.explode_outer(F.when(state == "known", F.col("one"))).alias("l"))
+    return out.select("book", "page", "state", "l.numbering", "l.value")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as X
@@ -323,11 +323,23 @@ def response_entries(spark, sf):
     return responses.contents_entries(answers.where("answer is not null"), "answer", "log_id", "pages")
 
 
+def _label_batches(lines: DataFrame, shift: int) -> DataFrame:
+    """(book, pages, labels): all pages of the lines in batches of four, with the labels on them."""
+    shape = F.struct("page", "numbering", "value")
+    labels = layout.edge_labels(lines, HEIGHT).groupBy("book", "page").agg(F.collect_list(shape).alias("l"))  # one page
+    pages = lines.select("book", F.col("page_number").alias("page")).distinct().join(labels, ["book", "page"], "left")
+    batches = pages.groupBy("book", F.floor((F.col("page") + shift) / 4).alias("b")).agg(F.collect_list("page").alias("pages"), F.flatten(F.collect_list("l")).alias("labels"))  # four pages
+    return batches.select("book", "pages", "labels")
+
+
 @query()
 def label_reuse(spark, sf):
-    """Which labels of the pages that contents rows point to are known from batches of four pages that were read before."""
-    labels = layout.edge_labels(table(spark, sf, "page_lines"), HEIGHT)
-    shape = F.struct("page", "numbering", "value")
-    batches = labels.groupBy("book", F.floor(F.col("page") / 4).alias("b")).agg(F.collect_set("page").alias("pages"), F.array_sort(F.collect_list(shape)).alias("labels"))  # four pages
+    """Which labels of the pages that contents rows point to are known from batches of four pages that were read before.
+
+    Each page was read twice, in batches that overlap: with the lines loaded within a day of its first one, and with all its lines.
+    """
+    lines = table(spark, sf, "page_lines")
+    first = F.min("loaded_at").over(Window.partitionBy("book", "page_number"))  # lines of one page
+    early = lines.withColumn("_first", first).where(F.coalesce(F.col("loaded_at") <= F.col("_first") + F.expr("interval 1 day"), F.lit(True)))
     needed = table(spark, sf, "toc_rows").where("pdf_page is not null").select("book", F.col("pdf_page").alias("page"))
-    return responses.reusable_labels(needed, batches)
+    return responses.reusable_labels(needed, _label_batches(early, 0).unionByName(_label_batches(lines, 2)))

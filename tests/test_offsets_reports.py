@@ -1,3 +1,4 @@
+import datetime
 import json
 
 from quirelake.operators import layout, offsets, reports, responses
@@ -128,6 +129,20 @@ def test_reusable_labels(spark):
     assert {r["page"]: (r["state"], r["value"]) for r in responses.reusable_labels(needed, batches).collect()} == {4: ("known", 1), 5: ("conflict", None), 6: ("empty", None), 8: ("missing", None)}
 
 
+def test_label_lists_of_batches(spark, rows, tmp_path):
+    labels = "book string, pages array<int>, labels array<struct<page:int,numbering:string,value:int>>"
+    both = [(1, "arabic", 1), (1, "roman", 5)]
+    batches = spark.createDataFrame([("b", [1, 2], [*both, (2, "arabic", 2)]), ("b", [1, 2], [*both[::-1], (2, "arabic", 2), (2, "roman", 9)])], labels)
+    got = rows(responses.reusable_labels(spark.createDataFrame([("b", 1), ("b", 2)], "book string, page int"), batches))
+    assert got == [("b", 1, "known", "arabic", 1), ("b", 1, "known", "roman", 5), ("b", 2, "conflict", None, None)]
+    day = lambda n: datetime.datetime(2025, 1, n)
+    lines = [("b", 1, "12", 5.0, 15.0, day(1)), ("b", 2, "no label here", 300.0, 310.0, day(1)), ("b", 3, "text", 300.0, 310.0, day(1)), ("b", 3, "14", 590.0, 600.0, day(20))]
+    spark.createDataFrame(lines, "book string, page_number int, text string, y double, bottom double, loaded_at timestamp").write.parquet(str(tmp_path / "page_lines.parquet"))
+    spark.createDataFrame([("b", p) for p in (1, 2, 3, 4, None)], "book string, pdf_page int").write.parquet(str(tmp_path / "toc_rows.parquet"))
+    got = rows(catalog.label_reuse(spark, str(tmp_path)))
+    assert got == [("b", 1, "known", "arabic", 12), ("b", 2, "empty", None, None), ("b", 3, "conflict", None, None), ("b", 4, "missing", None, None)]
+
+
 def test_stream_equals_batch(spark, rows, tmp_path):
     cols = "log_id long, source string, status string, source_size long, source_mtime_ns long"
     data = [(i, f"s{i % 5}" if i % 7 else None, "success" if i % 3 else "FAILED", i, i) for i in range(60)]
