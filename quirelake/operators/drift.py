@@ -1,8 +1,8 @@
 """Schemas that drift between files: one consistent table, and a record of every change.
 
 Every file has a fingerprint: which of the tracked fields it holds, under which name and as which JSON kind. A
-fingerprint is a schema version. `MIGRATIONS` says step by step how a version becomes the present one: rename, then default,
-then cast; `plan_of` gives the chain for one fingerprint, `unify` applies it to the rows. Changes come from comparing a file's
+fingerprint is a schema version, and becomes the present one step by step: rename, then default, then cast. `plan_of` gives
+the chain for one held field; `unify` applies the same steps to each record by its own names and kinds. Changes come from comparing a file's
 fingerprint with that of file_no - 1 through an equi-join on (job, file), so a job with a third of all files is spread over
 all tasks, and files are built by map-side-combining counts, so is a file with a third of all rows.
 """
