@@ -1,10 +1,10 @@
 """One copy of each message that was delivered at least once.
 
-Identifiers are first counted (partial sums map-side, so an identifier with a third of all rows is one row per
-task in the shuffle). Identifiers seen once pass without any ordering; only repeated ones are ranked, by a
-map-side-combining minimum instead of a window, so no task ever holds one identifier's rows. Rows are
-then split by that count and both parts united. The few identifiers with very many rows (`hot_rows`, at most
-`HOT_IDS` of them, so of proven size) are matched by broadcast, which keeps their rows where they are.
+Identifiers are split by their frequency, from one aggregation with partial sums map-side, so that an identifier with a
+third of all rows is one row per task in the shuffle. Messages seen once pass right out of that aggregation; only the repeated groups
+are ranked. Of a repeated group the first row by (time, order) is kept, by a map-side-combining minimum, so no task ever
+holds one identifier's rows. To list the superfluous rows, rows meet the repeated groups: the identifiers with the most rows (`HOT_IDS`
+at most, of proven size) by broadcast, which keeps their rows where they are. A key beyond those has at most one row in HOT_IDS + 1.
 """
 
 from __future__ import annotations
@@ -29,46 +29,27 @@ def message_key(raw: Column) -> Column:
     return F.when(text.rlike("^[0-9a-f]{32}$"), text)
 
 
-def _ranked(df: DataFrame, raw_id: str, time: str, order: str) -> tuple[DataFrame, DataFrame]:
-    rows = df.withColumn("_key", message_key(F.col(raw_id)))
-    rank = F.struct(
-        F.coalesce(F.col(time).cast("timestamp"), F.lit(_LATE).cast("timestamp")).alias("at"),
-        F.col(order).isNull().alias("no"),
-        F.col(order).alias("id"),
-    )
-    stats = (
-        rows.where("_key is not null")
-        .groupBy("_key")
-        .agg(F.count(F.lit(1)).alias("_times"), F.min(rank).alias("_first"))
-    )
-    return rows.withColumn("_rank", rank), stats.where("_times > 1")
-
-
-def _marked(df: DataFrame, raw_id: str, time: str, order: str, hot_rows: int) -> DataFrame:
-    """df with _key and _again: true for the rows that a kept row of the same message makes superfluous."""
-    rows, repeated = _ranked(df, raw_id, time, order)
-    hot = F.broadcast(
-        repeated.where(F.col("_times") >= hot_rows).orderBy(F.desc("_times"), "_key").limit(HOT_IDS)
-    ).withColumnsRenamed({"_times": "_hot_times", "_first": "_hot_first"})
-    marked = rows.join(hot, "_key", "left")
-    # hot keys leave the shuffled join: they get a null key there
-    marked = marked.withColumn("_join", F.when(F.col("_hot_times").isNull(), F.col("_key")))
-    cold = repeated.select(F.col("_key").alias("_join"), "_first")
-    calm, rest = marked.where("_join is not null"), marked.where("_join is null")
-    calm = calm.join(cold, "_join", "left").withColumn("_again", F.coalesce(F.col("_rank") != F.col("_first"), F.lit(False))).drop("_first")
-    rest = rest.withColumn("_again", F.coalesce(F.col("_rank") != F.col("_hot_first"), F.lit(False)))
-    return calm.unionByName(rest).drop("_join", "_hot_times", "_hot_first")
+def _rank(time: Column, order: Column) -> Column:
+    return F.struct(F.coalesce(time.cast("timestamp"), F.lit(_LATE).cast("timestamp")).alias("at"), order.isNull().alias("no"), order.alias("id"))
 
 
 def superfluous(df: DataFrame, raw_id: str = "message_id", time: str = "delivered_at", order: str = "log_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """The rows to drop: (order), one per delivery beyond the first.
 
     Of a message the row with the earliest `time`, then the smallest `order`, stays; a null time counts as
-    latest, a null `order` behind all others. Rows without an identifier are never superfluous. `order` is unique;
-    rows that agree in both are all kept. Only the three named columns are read.
+    latest, a null `order` behind all others. Rows without an identifier are never superfluous. Of rows that agree in all three one
+    stays. Only the three named columns are read.
     """
-    slim = df.select(F.col(order).alias("order"), F.col(raw_id).alias("raw"), F.col(time).alias("time"))
-    return _marked(slim, "raw", "time", "order", hot_rows).where("_again").select(F.col("order").alias(order))
+    rows = df.select(message_key(F.col(raw_id)).alias("key"), _rank(F.col(time), F.col(order)).alias("rank")).where("key is not null")
+    repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("rank").alias("first")).where("times > 1")
+    hot = F.broadcast(repeated.where(F.col("times") >= hot_rows).orderBy(F.desc("times"), "key").limit(HOT_IDS).select("key", F.col("first").alias("hot_first")))
+    marked = rows.join(hot, "key", "left")
+    calm = marked.where("hot_first is null").select("key", "rank").join(repeated.select("key", "first"), "key")
+    again = calm.unionByName(marked.where("hot_first is not null").select("key", "rank", F.col("hot_first").alias("first")))
+    # rows that agree in everything are counted, and one less than their number is dropped where they come first
+    alike = again.groupBy("key", "rank", "first").agg(F.count(F.lit(1)).alias("n"))
+    drop = F.col("n") - (F.col("rank") == F.col("first")).cast("bigint")
+    return alike.where(drop > 0).select(F.explode(F.sequence(F.lit(1), drop)), F.col("rank.id").alias(order)).select(order)
 
 
 def deduplicate(
@@ -78,16 +59,17 @@ def deduplicate(
     time: str = "delivered_at",
     order: str = "log_id",
     keep: tuple[str, ...] = ("source", "status"),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exactly one row per message over stored and new messages: (order, message_key, *keep).
 
-    Rows without an identifier (null, blank or no 128-bit number) stay, with a null key. Further columns,
-    also ones with clashing names, are not read.
+    Rows without an identifier (null, blank or no 128-bit number) stay, with a null key. Rows that agree in identifier, time and
+    order are one message; the smallest by `keep` stays. Further columns, also ones with clashing names, are not read.
     """
-    cols = [F.col(order).alias("_o"), F.col(raw_id).alias("_r"), F.col(time).alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]]
+    cols = [message_key(F.col(raw_id)).alias("key"), _rank(F.col(time), F.col(order)).alias("rank"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]]
     both = stored.select(*cols)
     if new is not None:
         both = both.unionByName(new.select(*cols))
-    out = _marked(both, "_r", "_t", "_o", hot_rows).where(~F.col("_again"))
-    return out.select(F.col("_o").alias(order), F.col("_key").alias("message_key"), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
+    kept = [f"k{i}" for i in range(len(keep))]
+    groups = both.where("key is not null").groupBy("key").agg(F.min(F.struct("rank", *kept)).alias("first"))
+    out = groups.select("key", "first.*").unionByName(both.where("key is null"))
+    return out.select(F.col("rank.id").alias(order), F.col("key").alias("message_key"), *[F.col(k).alias(c) for k, c in zip(kept, keep)])

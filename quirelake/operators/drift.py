@@ -1,10 +1,10 @@
 """Schemas that drift between files: one consistent table, and a record of every change.
 
-Every file has a fingerprint: which of the tracked fields it holds, under which name and as which JSON kind. A
-fingerprint is a schema version, and becomes the present one step by step: rename, then default, then cast. `plan_of` gives
-the chain for one held field; `unify` applies the same steps to each record by its own names and kinds. Changes come from comparing a file's
-fingerprint with that of file_no - 1 through an equi-join on (job, file), so a job with a third of all files is spread over
-all tasks, and files are built by map-side-combining counts, so is a file with a third of all rows.
+Every file has a fingerprint: which of the tracked fields it holds, under which name and as which JSON kind. A fingerprint is a
+schema version, and `plan_of` gives the chain of migration steps that makes it the present one: rename, then default, then cast.
+`unify` routes each record through the chain of its file's version; where a record differs from its file, or its file's version lacks a field
+it holds, through the chain of its own shape. Changes come from grouping each file with the one before it, so a job with a third of all
+files is spread over all tasks; files are built by map-side-combining counts, so is a file with a third of all rows.
 """
 
 from __future__ import annotations
@@ -137,8 +137,13 @@ def changes(df: DataFrame, payload: str = "payload", job: str = "job_id", file:
     has no row at all) has no changes; a predecessor that holds nothing makes all fields 'added'.
     """
     files = fingerprints(df, payload, job, file)
-    before = files.select("job", (F.col("file") + 1).alias("file"), F.col("held").alias("old"), F.col("fingerprint").alias("was"))
-    pairs = files.join(before, ["job", "file"]).where(F.col("fingerprint") != F.col("was"))
+    # each file once as itself and once as the predecessor of the next number: one grouping, the log is read once
+    seats = F.array(
+        F.struct(F.col("file").alias("at"), F.col("held").alias("held"), F.lit(None).cast("map<string,struct<name:string,kind:string>>").alias("old")),
+        F.struct((F.col("file") + 1).alias("at"), F.lit(None).cast("map<string,struct<name:string,kind:string>>").alias("held"), F.col("held").alias("old")),
+    )
+    sides = files.select("job", F.inline(seats)).groupBy("job", "at").agg(F.first("held", ignorenulls=True).alias("held"), F.first("old", ignorenulls=True).alias("old"))
+    pairs = sides.where("held is not null and old is not null")
     found = []
     for f in FIELDS:
         old, new = F.try_element_at("old", F.lit(f)), F.try_element_at("held", F.lit(f))
@@ -149,7 +154,7 @@ def changes(df: DataFrame, payload: str = "payload", job: str = "job_id", file:
             ("retyped", old["kind"] != new["kind"]),
         ):
             found.append(F.when(when, F.struct(F.lit(f).alias("field_name"), F.lit(change).alias("change"))))
-    rows = pairs.select(F.col("job").alias("job_id"), F.col("file").alias("file_no"), F.inline(F.array_compact(F.array(*found))))
+    rows = pairs.select(F.col("job").alias("job_id"), F.col("at").alias("file_no"), F.inline(F.array_compact(F.array(*found))))
     return rows
 
 
@@ -157,47 +162,80 @@ def _text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
-def _bookmark(v: Column, kind: Column) -> Column:
-    shape = "struct<title:string,pdf_page:int>"
+_ACTIONS = "array<struct<action:string,items:string>>"
+_MARK = "struct<title:string,pdf_page:int>"
+
+
+def _mark_of_pair(v: Column) -> Column:
     pair = F.try_variant_get(v, "$", "array<variant>")
-    listed = F.struct(_text(F.try_element_at(pair, F.lit(1))).alias("title"), F.try_variant_get(F.try_element_at(pair, F.lit(2)), "$", "int").alias("pdf_page"))
+    at = lambda i: F.try_element_at(pair, F.lit(i))
+    return F.when(pair.isNotNull(), F.struct(_text(at(1)).alias("title"), F.try_variant_get(at(2), "$", "int").alias("pdf_page")).cast(_MARK))
+
+
+def _mark_of_text(v: Column) -> Column:
     text = _text(v)
     pattern = r"^(.*?)\s*(?:@|\(p\.\s*)(\d{1,9})\)?$"
     spelled = F.struct(
         F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(text).alias("title"),
         F.regexp_extract(text, pattern, 2).try_cast("int").alias("pdf_page"),
     )
-    inner = F.try_variant_get(whole_json(text), "$", shape)
-    return F.when(kind == "object", F.try_variant_get(v, "$", shape)).when(kind == "array", listed.cast(shape)).when(kind == "string", F.coalesce(inner, spelled.cast(shape)))
+    return F.coalesce(F.try_variant_get(whole_json(text), "$", _MARK), F.when(text.isNotNull(), spelled.cast(_MARK)))
 
 
-def _flag(v: Column, kind: Column) -> Column:
+def _flag_of_word(v: Column) -> Column:
     word = F.lower(F.trim(_text(v)))
-    spelled = F.when(word.isin(*_YES), True).when(word.isin(*_NO), False)
-    return F.when(kind == "boolean", F.try_variant_get(v, "$", "boolean")).when(kind == "number", F.try_variant_get(v, "$", "double") != 0).when(kind == "string", spelled)
+    return F.when(word.isin(*_YES), True).when(word.isin(*_NO), False)
 
 
-_ACTIONS = "array<struct<action:string,items:string>>"
+def _actions_of_list(v: Column) -> Column:
+    items = lambda e: F.coalesce(F.try_variant_get(e, "$.pages", "string"), F.try_variant_get(e, "$.entries", "string"))
+    listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.struct(F.try_variant_get(e, "$.action", "string").alias("action"), items(e).alias("items")))
+    return listed.cast(_ACTIONS)
+
 
+def _actions_of_map(v: Column) -> Column:
+    pairs = F.map_entries(F.try_variant_get(v, "$", "map<string,string>"))
+    return F.transform(pairs, lambda e: F.struct(e["key"].alias("action"), e["value"].alias("items"))).cast(_ACTIONS)
 
-def _corrections(v: Column, kind: Column) -> Column:
-    def listed(x: Column) -> Column:
-        return F.transform(
-            F.try_variant_get(x, "$", "array<variant>"),
-            lambda e: F.struct(
-                F.try_variant_get(e, "$.action", "string").alias("action"),
-                F.coalesce(F.try_variant_get(e, "$.pages", "string"), F.try_variant_get(e, "$.entries", "string")).alias("items"),
-            ),
-        )
 
-    keyed = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,string>")), lambda e: F.struct(e["key"].alias("action"), e["value"].alias("items")))
+def _actions_of_text(v: Column) -> Column:
     text = F.trim(_text(v))
     parts = F.transform(
         F.filter(F.split(text, r"\s*;\s*"), lambda p: p != ""),
         lambda p: F.struct(F.regexp_extract(p, r"^([^:]*)", 1).alias("action"), F.nullif(F.regexp_extract(p, r"^[^:]*:(.*)$", 1), F.lit("")).alias("items")),
     )
-    spelled = F.when((text == "") | (F.lower(text) == "none"), F.array().cast(_ACTIONS)).otherwise(F.coalesce(listed(whole_json(text)), parts).cast(_ACTIONS))
-    return F.when(kind == "array", listed(v).cast(_ACTIONS)).when(kind == "object", keyed.cast(_ACTIONS)).when(kind == "string", spelled)
+    return F.when((text == "") | (F.lower(text) == "none"), F.array().cast(_ACTIONS)).otherwise(F.coalesce(_actions_of_list(whole_json(text)), parts.cast(_ACTIONS)))
+
+
+# What reads a field in its present kind, what a cast step does, and what a default step puts in.
+_READ = {
+    "toc_bookmark": lambda v: F.try_variant_get(v, "$", _MARK),
+    "review_acceptable": lambda v: F.try_variant_get(v, "$", "boolean"),
+    "toc_corrections": _actions_of_list,
+}
+_CAST = {
+    ("toc_bookmark", "array"): _mark_of_pair,
+    ("toc_bookmark", "string"): _mark_of_text,
+    ("review_acceptable", "number"): lambda v: F.try_variant_get(v, "$", "double") != 0,
+    ("review_acceptable", "string"): _flag_of_word,
+    ("toc_corrections", "object"): _actions_of_map,
+    ("toc_corrections", "string"): _actions_of_text,
+}
+_PUT = {"review_acceptable": lambda: F.lit(False), "toc_corrections": lambda: F.array().cast(_ACTIONS)}
+
+
+def _code(step: Rename | Default | Cast) -> str:
+    return {Rename: "rename", Default: "default"}.get(type(step)) or f"cast from {step.kind}"
+
+
+def _chain(field: str, name: Column, kind: Column) -> Column:
+    """array<string>: the codes of the steps that `plan_of` gives for a field held as (name, kind), or not held."""
+    key = F.when(name.isNull(), "-").otherwise(F.concat_ws("|", F.when(name == field, "own").otherwise("other"), kind))
+    plans = {"-": plan_of(field, None, None)}
+    for k in (*KINDS.values(), "number"):
+        plans[f"own|{k}"], plans[f"other|{k}"] = plan_of(field, field, k), plan_of(field, "", k)
+    codes = [x for k, steps in plans.items() for x in (F.lit(k), F.array(*[F.lit(_code(s)) for s in steps]).cast("array<string>"))]
+    return F.element_at(F.create_map(*codes), key)
 
 
 def _held_as(fields: Column, field: str) -> Column:
@@ -208,33 +246,43 @@ def _held_as(fields: Column, field: str) -> Column:
     return F.try_element_at(F.filter(own, lambda x: x["name"] == name), F.lit(1))
 
 
+def _named(plan: Column, field: str, name: Column) -> Column:
+    """The steps of a chain in words."""
+    word = lambda c: F.when(c == "rename", F.concat(F.lit("rename "), name, F.lit(f" -> {field}"))).when(c == "default", f"default {field}").otherwise(F.concat(F.lit(f"cast {field} "), F.substring(c, 6, 99)))
+    return F.transform(plan, word)
+
+
 def unify(df: DataFrame, payload: str = "payload", row_id: str = "log_id", job: str = "job_id", file: str = "file_no") -> DataFrame:
     """One consistent table of the tracked fields, a row per input row:
 
-    (row_id, job_id, file_no, readable, toc_bookmark struct<title, pdf_page>, review_acceptable boolean,
-    toc_corrections array<struct<action, items>>, steps array<string>). A readable record that lacks a field gets its
-    default; an unreadable one has nulls. A value no rule can cast becomes null. `steps` names the steps that were applied.
-    If one record holds a field under several names, the present name wins, then the smallest.
+    (row_id, job_id, file_no, readable, version, toc_bookmark struct<title, pdf_page>, review_acceptable boolean,
+    toc_corrections array<struct<action, items>>, steps array<string>). `version` is the fingerprint of the row's file, null without a job or
+    file. A readable record that lacks a field gets its default; an unreadable one has nulls. A value no rule can cast becomes null.
+    `steps` names the steps that were applied. If one record holds a field under several names, the present name wins, then the smallest.
     """
     slim = df.select(F.col(row_id).alias("_r"), F.col(job).alias("_j"), F.col(file).cast("bigint").alias("_f"), F.col(payload).cast("string").alias("_p"))
     rows = held(slim.withColumn("_ok", F.try_variant_get(whole_json(F.col("_p")), "$", "map<string,variant>").isNotNull()), "_p", "_r", "_j", "_f", "_ok")
-    picked = rows
     for f in FIELDS:
-        picked = picked.withColumn(f"_x_{f}", _held_as(F.col("fields"), f))
-    cells = {"toc_bookmark": _bookmark, "review_acceptable": _flag, "toc_corrections": _corrections}
-    blank = {"review_acceptable": F.lit(False), "toc_corrections": F.array().cast(_ACTIONS)}
+        rows = rows.withColumn(f"_x_{f}", _held_as(F.col("fields"), f))
+    rows = rows.drop("fields")
+    # one row a file: its version and the chain of each field
+    versions = fingerprints(df, payload, job, file).select("job", "file", "fingerprint", *[F.try_element_at("held", F.lit(f)).alias(f"_h_{f}") for f in FIELDS])
+    versions = versions.withColumns({f"_plan_{f}": _chain(f, F.col(f"_h_{f}")["name"], F.col(f"_h_{f}")["kind"]) for f in FIELDS})
+    routed = rows.join(versions, (rows["_j"] == versions["job"]) & (rows["_f"] == versions["file"]), "left")
     out, steps = [], []
     for f in FIELDS:
-        x = F.col(f"_x_{f}")
-        value = cells[f](x["value"], x["kind"])
-        if f in blank:
-            value = F.when(x.isNotNull(), value).when(F.col("_ok"), blank[f])
-            steps.append(F.when(F.col("_ok") & x.isNull(), F.lit(f"default {f}")))
-        steps.append(F.when(x["name"] != f, F.concat(F.lit("rename "), x["name"], F.lit(f" -> {f}"))))
-        kinds = [c.kind for c in CASTS if c.field == f]
-        steps.append(F.when(x["kind"].isin(*kinds), F.concat(F.lit(f"cast {f} from "), x["kind"])))
+        x, h = F.col(f"_x_{f}"), F.col(f"_h_{f}")
+        as_file = x["name"].eqNullSafe(h["name"]) & x["kind"].eqNullSafe(h["kind"]) & F.col("fingerprint").isNotNull()
+        plan = F.when(as_file, F.col(f"_plan_{f}")).otherwise(_chain(f, x["name"], x["kind"]))
+        value = _READ[f](x["value"])
+        for (field, kind), rule in _CAST.items():
+            if field == f:
+                value = F.when(F.array_contains(plan, f"cast from {kind}"), rule(x["value"])).otherwise(value)
+        if f in _PUT:
+            value = F.when(F.array_contains(plan, "default"), F.when(F.col("_ok"), _PUT[f]())).otherwise(value)
+        steps.append(F.when(F.col("_ok"), _named(plan, f, x["name"])).otherwise(F.array().cast("array<string>")))
         out.append(value.alias(f))
-    return picked.select(
-        F.col("_r").alias(row_id), F.col("_j").alias("job_id"), F.col("_f").alias("file_no"), F.col("_ok").alias("readable"), *out,
-        F.array_compact(F.array(*steps)).alias("steps"),
+    return routed.select(
+        F.col("_r").alias(row_id), F.col("_j").alias("job_id"), F.col("_f").alias("file_no"), F.col("_ok").alias("readable"), F.col("fingerprint").alias("version"), *out,
+        F.concat(*steps).alias("steps"),
     )

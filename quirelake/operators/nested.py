@@ -1,13 +1,15 @@
 """Deeply nested JSON records -> related flat tables.
 
 The shape is not declared: a first distributed pass walks the records and merges what it sees into one
-schema (path pattern -> JSON kinds). That schema, never the data, drives the plan: it says how often
-a self-containing list has to be exploded. The second pass is a chain of narrow explodes, one per array level,
-in which every row carries its parent's key and its own ordinal; there is no shuffle and no join.
+schema (path pattern -> JSON kinds), a table of its own. One figure of it drives the plan: how often a
+self-containing list has to be exploded. The second pass is a chain of narrow explodes, one per array level, in which
+every row carries its parent's key and its own ordinal; there is no shuffle and no join. Trees of more than ROUND
+levels are exploded in rounds: only the nodes at the last level that still have children go on, from a checkpoint.
 
 Reading rules: text that holds JSON counts as what it holds; a bare object where a list belongs is a list
 of one; ordinals start at 1 and count null elements; nulls, absent members, empty lists and empty objects,
-elements that are no objects, and records that are not readable JSON as a whole give no row.
+elements that are no objects, and records that are not readable JSON as a whole give no row. JSON nested deeper than
+the 1000 levels of Spark's own parser is not readable.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A merged schema with more distinct paths than this is a map in disguise; inference stops with an error.
-MAX_PATHS = 20_000
+from quirelake.session import cut_lineage
+
+#: Levels of a self-containing list that are exploded in one plan.
+ROUND = 24
 _KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
 
 
@@ -61,11 +65,12 @@ def _walk(value, path: str, seen: set[tuple[str, str]]) -> None:
             todo += [(v, f"{path}[]") for v in value]
 
 
-def infer_schema(df: DataFrame, json_col: str, only: Sequence[str] | None = None) -> dict[str, set[str]]:
-    """Merged schema of a JSON column: path pattern -> JSON kinds met there.
+def infer_schema(df: DataFrame, json_col: str, only: Sequence[str] | None = None) -> DataFrame:
+    """Merged schema of a JSON column: (path, kind), the JSON kinds met at each path pattern, a row for each.
 
     `only` limits the walk to those members of the record. Lists add "[]" to a path. Unreadable records and nulls
-    add nothing; an empty table gives an empty schema. What reaches the driver is the schema, not the data.
+    add nothing; an empty table gives an empty schema. Each task merges what it sees before the shuffle; the result stays a table,
+    however many paths there are.
     """
     wanted = set(only) if only is not None else None
 
@@ -80,32 +85,29 @@ def infer_schema(df: DataFrame, json_col: str, only: Sequence[str] | None = None
                     value = {k: v for k, v in value.items() if k in wanted} if isinstance(value, dict) else None
                 if value is not None:
                     _walk(value, "", seen)
+            if len(seen) > FLUSH:
+                yield pd.DataFrame(sorted(seen), columns=["path", "kind"])
+                seen = set()
         yield pd.DataFrame(sorted(seen), columns=["path", "kind"])
 
-    found = (
-        df.select(F.col(json_col).cast("string").alias("_json"))
-        .mapInPandas(batches, "path string, kind string")
-        .distinct()
-        .limit(MAX_PATHS + 1)
-        .collect()
-    )
-    if len(found) > MAX_PATHS:
-        raise ValueError(f"more than {MAX_PATHS} distinct paths in {json_col}; name the members to be read")
-    merged: dict[str, set[str]] = {}
-    for path, kind in found:
-        merged.setdefault(path, set()).add(kind)
-    return merged
+    return df.select(F.col(json_col).cast("string").alias("_json")).mapInPandas(batches, "path string, kind string").distinct()
+
 
+#: Paths that a task holds before it hands them on.
+FLUSH = 100_000
 
-def levels_of(schema: dict[str, set[str]], member: Member, record: bool = True) -> int:
-    """How many array levels `member` has in a merged schema: 1, or more where it contains itself.
 
-    In a schema of records only paths under the member count, in one of bare members all paths do.
+def levels_of(schema: DataFrame, members: Sequence[Member], record: bool = True) -> int:
+    """How many array levels the members have in a merged schema: 1, or more where one contains itself.
+
+    In a schema of records only paths under a member count for it, in one of bare members all paths do. One number reaches the driver.
     """
-    if not member.again:
+    parts = F.split(F.regexp_replace("path", r"\[\]", ""), r"\.")
+    times = lambda name: F.size(F.filter(parts, lambda p: p == name))
+    deep = [F.when(F.lit(not record) | (F.element_at(parts, 1) == m.name), times(m.again)) for m in members if m.again]
+    if not deep:
         return 1
-    marks = [p.replace("[]", "").split(".") for p in schema]
-    return 1 + max((sum(part == member.again for part in p) for p in marks if not record or p[0] == member.name), default=0)
+    return 1 + (schema.agg(F.max(F.greatest(*deep) if len(deep) > 1 else deep[0]).alias("n")).collect()[0]["n"] or 0)
 
 
 #: Fixed value. Put behind a text before parsing, since the parser itself stops at the end of the first value.
@@ -160,25 +162,20 @@ def _items(table: Column, prefix: Column, parent: Column, values: Column) -> Col
     return F.filter(rows, lambda r: F.size(r["node"]) > 0)
 
 
-def flatten(
-    df: DataFrame,
-    json_col: str,
-    row_id: str,
-    members: Sequence[Member],
-    record: bool = True,
-    schema: dict[str, set[str]] | None = None,
-) -> DataFrame:
+def flatten(df: DataFrame, json_col: str, row_id: str, members: Sequence[Member], record: bool = True, levels: int | None = None) -> DataFrame:
     """All nested items of all records: (row_id, table, path, parent_path, ordinal, depth, node).
 
     `record=True`: the column holds an object with those members. `record=False`: it holds the value of the single member
     itself. `node` is the item as map<string,variant>; (row_id, path) is the item's key and (row_id, parent_path)
     its parent's, the empty path standing for the record. Every input row counts, repeated ones too; other columns
-    of `df` are ignored, whatever their names. Rows with a null or unreadable text give nothing.
+    of `df` are ignored, whatever their names. Rows with a null or unreadable text give nothing. `levels` is the depth of the merged
+    schema where it is known.
     """
     if not record and len(members) != 1:
         raise ValueError("a column without a record around it holds one member")
-    if schema is None and any(m.again for m in members):
-        schema = infer_schema(df, json_col, [m.name for m in members] if record else None)
+    if levels is None:
+        again = any(m.again for m in members)
+        levels = levels_of(infer_schema(df, json_col, [m.name for m in members] if record else None), members, record) if again else 1
     raw = whole_json(F.col(json_col).cast("string"))
     rows = df.select(F.col(row_id).alias("row_id"), raw.alias("_doc"))
     if record:
@@ -199,23 +196,32 @@ def flatten(
             )
             parts.append(F.filter(F.array(one), lambda r: F.size(r["node"]) > 0))
     rows = rows.select("row_id", F.inline(F.concat(*parts) if len(parts) > 1 else parts[0])).withColumn("depth", F.lit(1))
-    deepest = max([levels_of(schema or {}, m, record) for m in members], default=1)
-    again = {m.name: m.again for m in members if m.again}
-    for level in range(1, deepest):
-        # the row itself, and behind it the elements one level further down if it was found in the last step
-        inner = F.lit(None).cast("array<variant>")
-        prefix = F.col("path")
-        for name, child in again.items():
-            mine = (F.col("table") == name) & (F.col("depth") == level)
-            inner = F.when(mine, _as_list(F.element_at("node", child))).otherwise(inner)
-            prefix = F.when(F.col("table") == name, F.concat("path", F.lit(f".{child}"))).otherwise(prefix)
-        own = F.array(F.struct("table", "path", "parent_path", "ordinal", "node", "depth"))
-        below = F.transform(
-            F.coalesce(_items(F.col("table"), prefix, F.col("path"), F.col("_inner")), F.array()),
-            lambda r: F.struct(r["table"], r["path"], r["parent_path"], r["ordinal"], r["node"], F.lit(level + 1).alias("depth")),
-        )
-        rows = rows.withColumn("_inner", inner).select("row_id", F.inline(F.concat(own, below)))
-    return rows
+    children = {m.name: m.again for m in members if m.again}
+    done = None
+    for level in range(1, levels):
+        if level % ROUND == 0:
+            rows = cut_lineage(rows)
+            finished = rows.where(F.col("depth") < level)
+            done = finished if done is None else done.unionByName(finished)
+            rows = rows.where(F.col("depth") == level)
+        rows = _one_level_down(rows, level, children)
+    return rows if done is None else done.unionByName(rows)
+
+
+def _one_level_down(rows: DataFrame, level: int, children: dict[str, str]) -> DataFrame:
+    """The rows themselves, and behind each that was found in the last step its elements one level further down."""
+    inner = F.lit(None).cast("array<variant>")
+    prefix = F.col("path")
+    for name, child in children.items():
+        mine = (F.col("table") == name) & (F.col("depth") == level)
+        inner = F.when(mine, _as_list(F.element_at("node", child))).otherwise(inner)
+        prefix = F.when(F.col("table") == name, F.concat("path", F.lit(f".{child}"))).otherwise(prefix)
+    own = F.array(F.struct("table", "path", "parent_path", "ordinal", "node", "depth"))
+    below = F.transform(
+        F.coalesce(_items(F.col("table"), prefix, F.col("path"), F.col("_inner")), F.array()),
+        lambda r: F.struct(r["table"], r["path"], r["parent_path"], r["ordinal"], r["node"], F.lit(level + 1).alias("depth")),
+    )
+    return rows.withColumn("_inner", inner).select("row_id", F.inline(F.concat(own, below)))
 
 
 def child_tables(items: DataFrame, columns: dict[str, dict[str, str]]) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ def build_session(app: str = "quirelake", master: str = "local[*]", partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
@@ -27,13 +30,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder named by the cluster in spark.checkpoint.dir.
+
+    Where it is unset, a session in one process (tests, benchmarks) gets a folder of its own that goes away with it; a
+    cluster without a shared folder is an error, since each executor would write to its own disk.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = named or tempfile.mkdtemp(prefix="quirelake-checkpoint-")
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quirelake-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
     return folder
 

@@ -62,9 +62,9 @@ def messages(spark):
 def test_one_copy_of_each_message(spark, hot):
     df = messages(spark)
     assert sorted(r[0] for r in dedup.superfluous(df, hot_rows=hot).collect()) == [1, 3, 4, 12]
-    kept = {r["log_id"]: r["message_key"] for r in dedup.deduplicate(df, hot_rows=hot).collect()}
+    kept = {r["log_id"]: r["message_key"] for r in dedup.deduplicate(df).collect()}
     assert sorted(kept) == [2, 5, 6, 7, 8, 9, 10, 11] and kept[2] == A and kept[9] is None
-    again = dedup.deduplicate(df.where("log_id < 3"), df.where("log_id >= 3"), hot_rows=hot)
+    again = dedup.deduplicate(df.where("log_id < 3"), df.where("log_id >= 3"))
     assert sorted(r["log_id"] for r in again.collect()) == sorted(kept)
     assert dedup.superfluous(df.where("log_id < 0")).count() == 0
 
@@ -72,3 +72,24 @@ def test_one_copy_of_each_message(spark, hot):
 def test_clashing_extra_columns(spark):
     df = messages(spark).withColumnsRenamed({"source": "_key", "status": "_rank"}).selectExpr("*", "1 as _join", "2 as _again", "3 as raw", "4 as time")
     assert sorted(r[0] for r in dedup.superfluous(df).collect()) == [1, 3, 4, 12]
+
+
+@pytest.mark.parametrize("hot", [1, 5000])
+def test_rows_alike_in_everything(spark, hot):
+    t = datetime(2024, 1, 1)
+    data = [(7, A, t, "a", "s")] * 3 + [(None, B, None, "b", "s")] * 2 + [(8, A, t, "c", "s")] * 2 + [(None, None, None, None, None)] * 2
+    df = spark.createDataFrame(data, "log_id long, message_id string, delivered_at timestamp, source string, status string")
+    assert sorted([r[0] for r in dedup.superfluous(df, hot_rows=hot).collect()], key=str) == [7, 7, 8, 8, None]
+    kept = sorted([(r["log_id"], r["message_key"]) for r in dedup.deduplicate(df).collect()], key=str)
+    assert kept == [(7, A), (None, B), (None, None), (None, None)]
+
+
+def test_route_by_version(spark):
+    """A file whose version takes rename and cast, a record in it that lacks the field, and one of another shape."""
+    df = log(spark, [("j", 1, {"tocBookmark": ["T", 4], "review_ok": "yes"})] * 3 + [("j", 1, {"tocBookmark": ["U", 5]}), ("j", 1, {"toc_bookmark": {"title": "V", "pdf_page": 6}, "review_ok": 1})])
+    out = {r["log_id"]: r for r in drift.unify(df).collect()}
+    steps = ["rename tocBookmark -> toc_bookmark", "cast toc_bookmark from array"]
+    assert list(out[0]["steps"]) == [*steps, "rename review_ok -> review_acceptable", "cast review_acceptable from string", "default toc_corrections"]
+    assert list(out[3]["steps"]) == [*steps, "default review_acceptable", "default toc_corrections"] and out[3]["review_acceptable"] is False
+    assert tuple(out[4]["toc_bookmark"]) == ("V", 6) and out[4]["review_acceptable"] is True and "cast review_acceptable from number" in out[4]["steps"]
+    assert len({r["version"] for r in out.values()}) == 1

@@ -3,6 +3,7 @@ import json
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 
+from quirelake.operators import nested
 from quirelake.operators.nested import Member, child_tables, flatten, infer_schema, levels_of
 
 TREE = (Member("bookmarks", again="children"),)
@@ -41,18 +42,28 @@ def test_child_tables_and_empty_input(spark):
 
 def test_schema_merges_kinds(spark):
     df = spark.createDataFrame([(json.dumps({"a": [{"b": 1}]}),), (json.dumps({"a": {"b": "x"}}),), ("bad",), (None,)], "j string")
-    merged = infer_schema(df, "j")
-    assert merged["a"] == {"array", "object"} and merged["a[].b"] == {"number"} and merged["a.b"] == {"string"}
-    assert levels_of({}, TREE[0]) == 1 and levels_of({"children.children[].title": {"string"}}, TREE[0], record=False) == 3
+    merged = {(r["path"], r["kind"]) for r in infer_schema(df, "j").collect()}
+    assert merged == {("", "object"), ("a", "array"), ("a", "object"), ("a[]", "object"), ("a[].b", "number"), ("a.b", "string")}
+    schema = lambda *paths: spark.createDataFrame([(p, "string") for p in paths], "path string, kind string")
+    assert levels_of(schema("x").where("path = ''"), TREE) == 1 and levels_of(schema("children.children[].title"), TREE, record=False) == 3
+
+
+def test_more_paths_than_a_task_holds(spark, monkeypatch):
+    """A map in disguise: every record has names of its own."""
+    monkeypatch.setattr(nested, "FLUSH", 10)
+    df = spark.createDataFrame([(i, json.dumps([{"title": "a", f"name{i}": 1, "children": [{f"x{i}.y": [1]}]}])) for i in range(25_000)], "id long, b string")
+    assert infer_schema(df, "b").count() == 75_005
+    assert flatten(df, "b", "id", TREE, record=False).count() == 50_000
 
 
 def test_deep_tree(spark):
     node = {"title": "end"}
-    for _ in range(13):
-        node = {"title": "x", "children": [node]}
-    df = spark.createDataFrame([(1, json.dumps([node]))], "id long, b string")
-    got = flatten(df, "b", "id", TREE, record=False)
-    assert [r["depth"] for r in got.collect()] == list(range(1, 15))
+    for _ in range(60):
+        node = {"title": "x", "children": [node, None, {"title": "y"}]}
+    df = spark.createDataFrame([(1, json.dumps([node])), (2, '[{"title": "z"}]')], "id long, b string")
+    got = [(r["row_id"], r["depth"], r["path"]) for r in flatten(df, "b", "id", TREE, record=False).collect()]
+    assert len(got) == len(set(got)) == 122
+    assert sorted({d for i, d, _ in got if i == 1}) == list(range(1, 62)) and all(p.count("[") == d for _, d, p in got)
 
 
 node = st.recursive(
