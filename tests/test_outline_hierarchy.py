@@ -1,32 +1,10 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as X
 from quirelake.operators import hierarchy, ordered, outline
 
-CASES = [
-    ("第1章/1.1/1.2/1.3/1.3.1/本章小结/第2章", "1212321", "1222321"), ("第2章/2.8.1/2.8.2/2.9", "3333", "1222"), ("第一章/1.1/1.1.1/1.2/第二章/2.8.1/2.8.2", "1111111", "1232122"),
-    ("Chapter 5/5.1/5.2/5.3", "1212", "1222"), ("Preface/Chapter 5/5.1/Bibliography/Index", "11211", "11211"), ("Part I/Chapter 1/1.1/1.2/Chapter 2/2.1/2.2/Part II/Chapter 3/3.1", "1233233123", "1233233123"),
-    ("第一章 引言/1.1 甲/第一章小结/第二章 乙/2.1 丙/习题二", "121122", "122122"), ("Preface/1 Introduction/1.1 Scope/2 Methods/2.1 Setup/Index", "112221", "112121"),
-]
-
-
-@pytest.mark.parametrize(("titles", "reported", "inferred"), CASES)
-def test_levels(spark, titles, reported, inferred):
-    rows = [(1, "b", i, t, 10, int(lv)) for i, (t, lv) in enumerate(zip(titles.split("/"), reported))]
-    df = spark.createDataFrame(rows, "toc_id int, book string, seq int, title string, source_page int, level int").withColumn("toc_id", F.col("seq"))
-    out = hierarchy.infer_levels(df).orderBy("seq").collect()
-    assert "".join(str(r["inferred"]) for r in out) == inferred
-
-
-def test_levels_with_nulls_and_empty(spark):
-    df = spark.createDataFrame([(1, "b", 1, None, None, None), (2, "b", None, "x", 3, -1), (3, None, 1, "1.1", 3, 9)], "toc_id int, book string, seq int, title string, source_page int, level int")
-    out = {r["toc_id"]: r["inferred"] for r in hierarchy.infer_levels(df).collect()}
-    assert out == {1: 1, 2: 1, 3: 1}
-    assert hierarchy.infer_levels(df.where("toc_id > 9")).count() == 0
-
 
 def test_unique_rows_breaks_and_bookmark(spark):
     data = [(1, "b", 1, "3.4 甲", 44, "arabic", 1), (2, "b", 2, "3.4甲", 44, "arabic", 1), (3, "b", 3, "3.5", 48, "arabic", 2), (4, "b", 4, "4.2", 50, "arabic", 3), (5, "b", 5, None, None, None, None), (6, "b", 6, None, None, None, None)]
