@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from statistics import median
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as X
@@ -29,27 +29,18 @@ def letter_columns(df: DataFrame, width: float, book: str = "book", page: str =
     return out.withColumn("two_columns", two)
 
 
-def _rows_of(words: pd.DataFrame, size: float) -> list[pd.DataFrame]:
-    """Words in rows: a word joins the last row if its centre is near the median centre of that row."""
-    near = max(3.0, 0.6 * size)
-    words = words.assign(mid=words["y"] + words["height"] * 0.5).sort_values(["mid", "x"], kind="stable")
-    rows: list[list[int]] = []
-    mids: list[float] = []
-    for i, mid in enumerate(words["mid"]):
-        if not rows or abs(mid - median(mids)) > near:
-            rows.append([])
-            mids = []
-        rows[-1].append(i)
-        mids.append(mid)
-    return [words.iloc[r].sort_values("x", kind="stable") for r in rows]
-
-
-def _line(row: pd.DataFrame, size: float) -> tuple[str, float, float, float, float]:
-    ends = (row["x"] + row["width"]).tolist()
-    text = row["text"].iloc[0]
-    for before, x, word in zip(ends, row["x"].iloc[1:], row["text"].iloc[1:]):
-        text += ("   " if x - before > 1.7 * size else " ") + word
-    return text, row["x"].min(), row["y"].min(), max(ends), (row["y"] + row["height"]).max()
+def line_numbers(mids: list[float], near: float) -> list[int]:
+    """The line of each word, words given by rising centre: a word stays in the last line while it is within `near` of the middle of
+    that line's centres. Centres rise, so the middle of a line is found by position."""
+    out, start, line = [], 0, 0
+    for i, mid in enumerate(mids):
+        size = i - start
+        if size:
+            a, b = mids[start + (size - 1) // 2], mids[start + size // 2]
+            if mid - (a + b) / 2 > near:
+                start, line = i, line + 1
+        out.append(line)
+    return out
 
 
 def group_words(words: DataFrame, width: float) -> DataFrame:
@@ -57,39 +48,77 @@ def group_words(words: DataFrame, width: float) -> DataFrame:
 
     words: (book, page, text, x, y, width, height). A page is read in two columns if both have letters and the middle is
     nearly empty. Words without text, x, y or height are left out; a word without a width gets that of its characters, each as wide as
-    the median of the page's other words, or half its height where no word has a width. A page is a bounded group.
+    the median of the page's other words, or half its height where no word has a width. A page is a bounded group. Columns, sizes and
+    the text of a line are made JVM-side; only the line number of a word, which depends on the words before it, comes from Python, for pages
+    sorted within their partition.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["width"].isna().any():
-            n = pdf["text"].str.len()
-            each = (pdf["width"] / n)[n > 0].median()
-            pdf = pdf.assign(width=pdf["width"].fillna(n * (pdf["height"] * 0.5 if pd.isna(each) else each)))
-        counts = pdf["text"].map(lambda t: sum(c.isalpha() for c in t))
-        left, right = counts[pdf["x"] < 0.45 * width].sum(), counts[pdf["x"] > 0.55 * width].sum()
-        middle = counts.sum() - left - right
-        split = left >= 18 and right >= 18 and middle < 0.23 * min(left, right)
-        halves = [pdf[pdf["x"] < width / 2], pdf[pdf["x"] >= width / 2]] if split else [pdf]
-        out = []
-        for half in halves:
-            if not half.empty:
-                size = median(half["height"].clip(lower=1.0))
-                out += [_line(r, size) for r in _rows_of(half, size)]
-        return pd.DataFrame([(pdf["book"].iloc[0], pdf["page"].iloc[0], i + 1, *r) for i, r in enumerate(out)], columns=["book", "page", "line", "text", "x", "y", "right_edge", "bottom"])
-
     slim = words.select("book", F.col("page").cast("bigint").alias("page"), "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")])
-    lines = slim.dropna(subset=["text", "x", "y", "height"]).groupBy("book", "page").applyInPandas(one, "book string, page bigint, line bigint, text string, x double, y double, right_edge double, bottom double")
-    return lines.withColumn("text", X.clean_text(F.col("text")))
-
-
-def edge_labels(lines: DataFrame, height: float, book: str = "book", page: str = "page_number") -> DataFrame:
-    """(book, page, numbering, value): printed page labels in the upper and lower 16 % of pages of that height, each once.
-
-    A line that is a label as a whole, else its first and last word.
+    slim = slim.dropna(subset=["text", "x", "y", "height"])
+    page = Window.partitionBy("book", "page")
+    n = letters(F.col("text"))
+    side = lambda when: F.coalesce(F.sum(F.when(when, n)).over(page), F.lit(0))
+    left, right = side(F.col("x") < 0.45 * width), side(F.col("x") > 0.55 * width)
+    middle = F.sum(n).over(page) - left - right
+    chars = F.length("text")
+    each = F.median(F.when(chars > 0, F.col("width") / chars)).over(page)
+    placed = slim.withColumns({"_split": (left >= 18) & (right >= 18) & (middle < 0.23 * F.least(left, right)), "_width": F.coalesce("width", chars * F.coalesce(each, F.col("height") * 0.5))})
+    placed = placed.select("book", "page", F.when(F.col("_split") & (F.col("x") >= width / 2), 1).otherwise(0).alias("half"), "text", "x", "y", F.col("_width").alias("width"), "height", (F.col("y") + F.col("height") * 0.5).alias("mid"))
+    size = F.median(F.greatest("height", F.lit(1.0))).over(Window.partitionBy("book", "page", "half"))
+    placed = placed.withColumn("size", size).sortWithinPartitions("book", "page", "half", "mid", "x", "text")
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def numbered() -> pd.DataFrame:
+            pdf = pd.concat(held) if len(held) > 1 else held[0]
+            book, page, half, mids, sizes = (pdf[c].tolist() for c in ("book", "page", "half", "mid", "size"))
+            row: list[int] = []
+            at = 0
+            for i in range(1, len(mids) + 1):
+                if i == len(mids) or (half[i], page[i], book[i]) != (half[at], page[at], book[at]):
+                    row += line_numbers(mids[at:i], max(3.0, 0.6 * sizes[at]))
+                    at = i
+            return pdf.assign(row=row)[["book", "page", "half", "row", "text", "x", "y", "width", "height", "size"]]
+
+        for pdf in batches:
+            # whole pages go on; the last one may not be complete
+            last = (pdf["book"].eq(pdf["book"].iloc[-1]) | (pdf["book"].isna() & pd.isna(pdf["book"].iloc[-1]))) & (pdf["page"].eq(pdf["page"].iloc[-1]) | (pdf["page"].isna() & pd.isna(pdf["page"].iloc[-1])))
+            if not last.all():
+                held.append(pdf[~last])
+                yield numbered()
+                held = []
+            held.append(pdf[last])
+        if held:
+            yield numbered()
+
+    kind = dict(slim.dtypes)["book"]
+    rows = placed.mapInPandas(number, f"book {kind}, page bigint, half int, row int, text string, x double, y double, width double, height double, size double")
+    word = F.struct("x", "y", "text", (F.col("x") + F.col("width")).alias("end"))
+    lines = rows.groupBy("book", "page", "half", "row").agg(
+        F.array_sort(F.collect_list(word)).alias("words"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("right_edge"), F.max(F.col("y") + F.col("height")).alias("bottom"), F.first("size").alias("size"),
+    )
+    first = F.element_at("words", 1)
+    start = F.struct(first["text"].alias("text"), first["end"].alias("end"))
+    joined = F.aggregate(
+        F.slice("words", 2, F.size("words")), start,
+        lambda acc, w: F.struct(F.concat(acc["text"], F.when(w["x"] - acc["end"] > 1.7 * F.col("size"), "   ").otherwise(" "), w["text"]).alias("text"), w["end"].alias("end")),
+    )["text"]
+    line = F.row_number().over(Window.partitionBy("book", "page").orderBy("half", "row")).cast("bigint")
+    return lines.select("book", "page", line.alias("line"), X.clean_text(joined).alias("text"), "x", "y", "right_edge", "bottom")
+
+
+def edge_labels(lines: DataFrame, height: float, width: float, book: str = "book", page: str = "page_number") -> DataFrame:
+    """(book, page, numbering, value): printed page labels in the upper and lower 16 % of pages of that size, each once.
+
+    A line that is a label as a whole, else its first and last word where they stand left of 20 % or right of 78 % of the width. A line's last
+    word begins where its share of the line's characters says; without a right edge, or a word without a place, there is none.
     """
     edge = ~((F.col("y") > 0.16 * height) & (F.col("bottom") < 0.84 * height))
-    rows = lines.where(edge & (F.trim("text") != "")).select(F.col(book).alias("book"), F.col(page).alias("page"), "text")
-    words = F.split(F.trim("text"), r"\s+")
-    parts = rows.select("book", "page", X.page_label(F.col("text")).alias("whole"), F.element_at(words, 1).alias("a"), F.element_at(words, -1).alias("b"))
-    found = parts.select("book", "page", F.explode(F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(F.array_compact(F.array(X.page_label(F.col("a")), X.page_label(F.col("b")))))).alias("l"))
+    rows = lines.where(edge & (F.trim("text") != "")).select(F.col(book).alias("book"), F.col(page).alias("page"), F.trim("text").alias("text"), F.col("x").alias("x"), F.col("right_edge").alias("end"))
+    words = F.split("text", r"(?U)\s+")
+    parts = rows.select("book", "page", X.page_label(F.col("text")).alias("whole"), F.element_at(words, 1).alias("a"), F.element_at(words, -1).alias("b"), "x", "end", F.length("text").alias("n"))
+    outer = lambda x: (x < 0.2 * width) | (x > 0.78 * width)
+    begins = F.col("end") - (F.col("end") - F.col("x")) * F.length("b") / F.col("n")
+    ends = F.array_compact(F.array(F.when(outer(F.col("x")), X.page_label(F.col("a"))), F.when(outer(begins), X.page_label(F.col("b")))))
+    found = parts.select("book", "page", F.explode(F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(ends)).alias("l"))
     return found.select("book", "page", "l.numbering", "l.value").distinct()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from statistics import median
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as X
+from quirelake.operators.ordered import chunked, scans
+from quirelake.operators.outline import longest_run
+from quirelake.session import cut_lineage
 
 #: Pages that have to agree on an offset, those that make a second one, and pages a change may stay uncertain by.
 LEAST, SECOND, UNSURE = 3, 2, 3
@@ -30,100 +30,83 @@ def votes(anchors: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
-class _Labels:
-    """Printed labels by page, and what was read from them to narrow a change down."""
+def _sides(pages: DataFrame) -> DataFrame:
+    """One row per (book, numbering, offset): votes, first, last and middle page."""
+    return pages.groupBy("book", "numbering", "offset").agg(
+        F.count(F.lit(1)).alias("votes"), F.min("pdf_page").alias("first"), F.max("pdf_page").alias("last"), F.median("pdf_page").alias("middle")
+    )
 
-    def __init__(self, pages: dict[int, list[int]]):
-        self.pages, self.read = pages, 0
 
-    def side(self, page: int, low: int, high: int) -> str | None:
-        for printed in self.pages.get(page, ()):
-            if page - printed in (low, high):
-                self.read += 1
-                return "low" if page - printed == low else "high"
-        return None
+def _bisected(left: Column, right: Column, low: Column, shown: Column) -> Column:
+    """struct<left, right>: the gap between the last page with the lower offset and the first one with the other, narrowed down.
 
+    `shown` maps pages to the offset their label shows. Each step looks at the middle of the gap and its neighbours; it ends where
+    none of them shows anything or two pages are left. A gap of n pages takes log2(n) steps.
+    """
 
-def narrow(left: int, right: int, low: int, high: int, labels: _Labels) -> tuple[int, int]:
-    """Bisect the pages between the last one with offset `low` and the first one with `high` by their printed labels."""
-    while right - left > 2:
-        middle = (left + right) // 2
-        probes = [p for p in (middle, middle + 1, middle - 1) if left < p < right]
-        hit = next(((p, s) for p in probes if (s := labels.side(p, low, high))), None)
-        if hit is None:
-            break
-        left, right = (hit[0], right) if hit[1] == "low" else (left, hit[0])
-    return left, right
+    def step(gap: Column, _: Column) -> Column:
+        middle = F.floor((gap["left"] + gap["right"]) / 2).cast("int")
+        inside = F.filter(F.array(middle, middle + 1, middle - 1), lambda p: (p > gap["left"]) & (p < gap["right"]) & F.try_element_at(shown, p).isNotNull())
+        page = F.try_element_at(inside, F.lit(1))
+        lower = F.try_element_at(shown, page) == low
+        moved = F.struct(F.when(lower, page).otherwise(gap["left"]).alias("left"), F.when(lower, gap["right"]).otherwise(page).alias("right"))
+        return F.when((gap["right"] - gap["left"] > 2) & page.isNotNull(), moved).otherwise(gap)
 
+    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(left.cast("int").alias("left"), right.cast("int").alias("right")), step)
 
-def fit_one(pages: list[tuple[int, int]], labels: dict[int, list[int]]) -> tuple[int | None, list[tuple[int, int, int | None, int]], str | None]:
-    """(offset, segments, warning) of one numbering of one book; pages are (pdf_page, offset).
 
-    A segment is (offset, from_printed, until_printed or None, votes). Warnings: 'conflict', 'edge', 'many', 'interleaved', 'unsure'.
-    """
-    by: dict[int, set[int]] = {}
-    for page, off in pages:
-        by.setdefault(off, set()).add(page)
-    order = lambda d: sorted(d, key=lambda o: (-len(d[o]), o))
-    ranked = order(by)
-    if not ranked:
-        return None, [], None
-    best = ranked[0]
-    if len(by[best]) < LEAST or (len(ranked) > 1 and len(by[ranked[1]]) == len(by[best])):
-        return None, [], "conflict"
-    # a page that has the best offset is no witness for another one
-    rest = {o: p for o, p in ((o, by[o] - by[best]) for o in ranked[1:]) if p}
-    others = order(rest)
-    strong = [o for o in others if len(rest[o]) >= SECOND]
-    if not strong:
-        lone = rest[others[0]] if others else set()
-        edge = bool(lone) and (min(lone) > max(by[best]) or max(lone) < min(by[best]))
-        return best, [(best, 1, None, len(by[best]))], "edge" if edge else None
-    if len(strong) > 1:
-        return best, [], "many"
-    sides = sorted(((best, by[best]), (strong[0], rest[strong[0]])), key=lambda x: median(x[1]))
-    (low, before), (high, after) = sides
-    left, right = max(before), min(after)
-    if left >= right or min(after) <= min(before):
-        return best, [], "interleaved"
-    left, right = narrow(left, right, low, high, _Labels(labels))
-    if right - left > UNSURE:
-        return best, [], "unsure"
-    change = right - high
-    return best, [(low, 1, change - 1, len(before)), (high, change, None, len(after))], None
-
-
-_FIT = "book string, numbering string, offset int, segments array<struct<offset:int,from_printed:int,until_printed:int,votes:int>>, warning string"
+_SEGMENTS = "array<struct<offset:int,from_printed:int,until_printed:int,votes:int>>"
 
 
 def fit(anchors: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(book, numbering, offset, segments, warning) of each book and numbering that has anchors.
 
-    `labels` (book, numbering, pdf_page, printed_page) are the printed labels that narrow a change down; by default the
-    anchors themselves. Only distinct (page, offset) pairs reach the grouped function, at most as many as a book has
-    pages and offsets; what can't be decided by two offsets needs no labels.
+    A page votes for an offset once. The best offset needs three votes and more than any other ('conflict' else). Pages that have it
+    are no witnesses for another one. A second offset with two and more votes makes two segments, cut where the pages' labels
+    change; other outcomes have one segment, or none and a warning: 'edge' (a lone page before or behind all others), 'many',
+    'interleaved', 'unsure'. `labels` (book, numbering, pdf_page, printed_page) are the printed labels that narrow the change down, by default
+    the anchors. A segment is (offset, from_printed, until_printed or null, votes). Equal votes: the smaller offset.
     """
-    pairs = anchors.groupBy("book", "numbering", "pdf_page", "offset").agg(F.lit(True).alias("anchor"))
-    if labels is not None:
-        seen = labels.where("pdf_page is not null and printed_page is not null").select(
-            "book", "numbering", "pdf_page", (F.col("pdf_page") - F.col("printed_page")).alias("offset"), F.lit(False).alias("anchor")
-        )
-        pairs = pairs.unionByName(seen.distinct())
-    else:
-        pairs = pairs.unionByName(pairs.withColumn("anchor", F.lit(False)))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = pdf[pdf["anchor"]]
-        if mine.empty:
-            return pd.DataFrame(columns=["book", "numbering", "offset", "segments", "warning"])
-        shown: dict[int, list[int]] = {}
-        for page, off in sorted(zip(pdf.loc[~pdf["anchor"], "pdf_page"], pdf.loc[~pdf["anchor"], "offset"])):
-            shown.setdefault(int(page), []).append(int(page - off))
-        best, segments, warning = fit_one([(int(p), int(o)) for p, o in zip(mine["pdf_page"], mine["offset"])], shown)
-        cells = [{"offset": o, "from_printed": f, "until_printed": u, "votes": v} for o, f, u, v in segments]
-        return pd.DataFrame({"book": [pdf["book"].iloc[0]], "numbering": [pdf["numbering"].iloc[0]], "offset": pd.array([best], dtype="Int32"), "segments": [cells], "warning": [warning]})
-
-    return pairs.groupBy("book", "numbering").applyInPandas(one, _FIT)
+    keys = ["book", "numbering"]
+    pages = anchors.where("book is not null and numbering is not null and pdf_page is not null and offset is not null").groupBy(*keys, "pdf_page", "offset").agg(F.lit(1))
+    pages = pages.select(*keys, "pdf_page", "offset")
+    rank = F.struct(F.col("votes").alias("votes"), (-F.col("offset")).alias("down"), "offset", "first", "last", "middle")
+    sides = _sides(pages).withColumn("side", rank)
+    order = Window.partitionBy(*keys).orderBy(F.desc("votes"), "offset")  # one row per offset
+    two = sides.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
+    best = two.groupBy(*keys).agg(F.max("side").alias("best"), F.max(F.when(F.col("rank") == 2, F.col("votes"))).alias("next_votes"))
+    firm = (F.col("best.votes") >= LEAST) & (F.col("best.votes") > F.coalesce("next_votes", F.lit(0)))
+    best = best.withColumn("firm", firm)
+    chosen = best.where("firm").select(*keys, F.col("best.offset").alias("best_offset"))
+    marked = pages.join(chosen, keys).withColumn("has", F.col("offset") == F.col("best_offset"))
+    taken = marked.where("has").select(*keys, "pdf_page")
+    rest = _sides(marked.where(~F.col("has")).join(taken, [*keys, "pdf_page"], "left_anti")).withColumn("side", rank)
+    rest = rest.groupBy(*keys).agg(F.max("side").alias("other"), F.count_if(F.col("votes") >= SECOND).alias("strong"))
+    out = best.join(rest, keys, "left")
+    b, o = F.col("best"), F.col("other")
+    swap = b["middle"] <= o["middle"]
+    before, after = F.when(swap, b).otherwise(o), F.when(swap, o).otherwise(b)
+    out = out.withColumns({"strong": F.coalesce("strong", F.lit(0)), "before": before, "after": after})
+    # labels are looked at in the gap between the two sides only
+    apart = (F.col("before.last") < F.col("after.first")) & (F.col("after.first") > F.col("before.first"))
+    gaps = out.where("firm and strong = 1").where(apart).select(*keys, F.col("before.last").alias("_from"), F.col("after.first").alias("_to"), F.col("before.offset").alias("_low"), F.col("after.offset").alias("_high"))
+    seen = pages if labels is None else labels.where("pdf_page is not null and printed_page is not null").select(*keys, "pdf_page", (F.col("pdf_page") - F.col("printed_page")).alias("offset"))
+    told = seen.join(gaps, keys).where("pdf_page > _from and pdf_page < _to and offset in (_low, _high)").groupBy(*keys, "pdf_page").agg(F.min("offset").alias("offset"))
+    shown = told.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("pdf_page").cast("int"), F.col("offset").cast("int")))).alias("shown"))  # pages of one gap
+    out = out.join(shown, keys, "left")
+    gap = _bisected(F.col("before.last"), F.col("after.first"), F.col("before.offset").cast("int"), F.coalesce("shown", F.create_map().cast("map<int,int>")))
+    out = out.withColumn("gap", F.when(F.col("firm") & (F.col("strong") == 1) & apart, gap))
+    lone = (F.col("strong") == 0) & ((o["first"] > b["last"]) | (o["last"] < b["first"]))
+    warning = (
+        F.when(~F.col("firm"), "conflict").when(F.coalesce(lone, F.lit(False)), "edge").when(F.col("strong") > 1, "many").when((F.col("strong") == 1) & F.col("gap").isNull(), "interleaved")
+        .when(F.col("gap.right") - F.col("gap.left") > UNSURE, "unsure")
+    )
+    change = F.col("gap.right") - F.col("after.offset")
+    part = lambda offset, start, end, votes: F.struct(offset.cast("int").alias("offset"), start.cast("int").alias("from_printed"), end.cast("int").alias("until_printed"), votes.cast("int").alias("votes"))
+    one = F.array(part(b["offset"], F.lit(1), F.lit(None), b["votes"]))
+    both = F.array(part(F.col("before.offset"), F.lit(1), change - 1, F.col("before.votes")), part(F.col("after.offset"), change, F.lit(None), F.col("after.votes")))
+    segments = F.when(warning.isNull() | (warning == "edge"), F.when(F.col("strong") == 0, one).otherwise(both)).otherwise(F.array().cast(_SEGMENTS))
+    return out.select(*keys, F.when(F.col("firm"), b["offset"]).cast("int").alias("offset"), segments.alias("segments"), warning.alias("warning"))
 
 
 def map_rows(rows: DataFrame, fitted: DataFrame, page_counts: DataFrame) -> DataFrame:
@@ -147,24 +130,98 @@ def title_anchors(rows: DataFrame, pages: DataFrame, contents: DataFrame) -> Dat
     """(book, toc_id, pdf_page, printed_page, offset): titles whose key stands on exactly one page that is no contents page.
 
     rows: contents rows; pages (book, page, text); contents (book, page). Only Arabic rows, keys of 7 and more characters, the first row
-    of a key, the first 8 hits of a book in row order. Containment goes through an index: every 7 characters of a page's key
-    with their page, joined to the first 7 of a title's key, then verified; no page meets a title without a common piece.
+    of a key, the first 8 hits of a book in row order. Containment goes through an index: hashes of every 7 characters of
+    a page's key meet the first 7 of a title's key. Only hashes and page numbers are shuffled; the pairs found meet the page's text
+    once more to be verified. No page meets a title without a common piece.
     """
     key = X.title_key(F.col("title"))
     first = F.min(F.struct("seq", "toc_id", "printed_page")).alias("f")
     keys = rows.where("numbering = 'arabic' and printed_page is not null").select("book", "seq", "toc_id", "printed_page", key.alias("key")).where(F.length("key") >= KEY_LENGTH)
-    keys = keys.groupBy("book", "key").agg(first).select("book", "key", "f.*", F.substring("key", 1, KEY_LENGTH).alias("gram"))
-    body = pages.join(contents.select("book", "page").distinct(), ["book", "page"], "left_anti").select("book", "page", X.title_key(F.col("text")).alias("body"))
-    spots = F.sequence(F.lit(1), F.greatest(F.length("body") - KEY_LENGTH + 1, F.lit(1)))
-    grams = F.array_distinct(F.transform(spots, lambda i: F.substring(F.col("body"), i, F.lit(KEY_LENGTH))))
-    index = body.where(F.length("body") >= KEY_LENGTH).select("book", "page", "body", F.explode(grams).alias("gram"))
-    hits = index.join(keys, ["book", "gram"]).where(F.contains(F.col("body"), F.col("key")))
+    piece = lambda text: F.xxhash64(F.col("book"), text)
+    keys = keys.groupBy("book", "key").agg(first).select("book", "key", "f.*", piece(F.substring("key", 1, KEY_LENGTH)).alias("piece"))
+    body = pages.join(contents.select("book", "page").distinct(), ["book", "page"], "left_anti").select("book", "page", X.title_key(F.col("text")).alias("body")).where(F.length("body") >= KEY_LENGTH)
+    spots = F.sequence(F.lit(1), F.length("body") - KEY_LENGTH + 1)
+    pieces = F.array_distinct(F.transform(spots, lambda i: piece(F.substring(F.col("body"), i, F.lit(KEY_LENGTH)))))
+    index = body.select("page", F.explode(pieces).alias("piece"))
+    pairs = index.join(keys, "piece").select("book", "page", "key", "seq", "toc_id", "printed_page")
+    hits = pairs.join(body, ["book", "page"]).where(F.contains(F.col("body"), F.col("key")))
     single = hits.groupBy("book", "key", "seq", "toc_id", "printed_page").agg(F.countDistinct("page").alias("n"), F.min("page").alias("pdf_page")).where("n = 1")
     w = Window.partitionBy("book").orderBy("seq", "toc_id")
     kept = single.withColumn("r", F.row_number().over(w)).where(F.col("r") <= ANCHORS)
     return kept.select("book", "toc_id", "pdf_page", "printed_page", (F.col("pdf_page") - F.col("printed_page")).alias("offset"))
 
 
+def collected(sample: DataFrame, labels: DataFrame, page_counts: DataFrame, titles: DataFrame) -> DataFrame:
+    """(book, numbering, pdf_page, printed_page, offset, source): the anchors of each book.
+
+    Labels on the sampled pages (book, page) with a number from 1 to page_count + 200 ('page-label'); in books where no offset has three
+    of them the title anchors as well ('chapter-title'). labels: (book, numbering, pdf_page, printed_page); page_counts: (book, page_count).
+    """
+    near = labels.join(sample.select("book", F.col("page").alias("pdf_page")).distinct(), ["book", "pdf_page"]).join(page_counts.select("book", "page_count"), "book")
+    shape = lambda d, numbering, source: d.select("book", numbering.alias("numbering"), "pdf_page", "printed_page", (F.col("pdf_page") - F.col("printed_page")).alias("offset"), F.lit(source).alias("source"))
+    read = shape(near.where("printed_page between 1 and page_count + 200").select("book", "numbering", "pdf_page", "printed_page").distinct(), F.col("numbering"), "page-label")
+    enough = read.groupBy("book", "numbering", "offset").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select("book").distinct()
+    return read.unionByName(shape(titles.join(enough, "book", "left_anti"), F.lit("arabic"), "chapter-title"))
+
+
+def outline_gates(outline: DataFrame, page_counts: DataFrame, contents: DataFrame) -> DataFrame:
+    """(book, rows, numbers, lost, on_contents, back_steps, offset, support, span, longest, accepted): what an old outline's page numbers show.
+
+    outline: (book, seq, node_id, title, page_number); page_counts: (book, page_count); contents: (book, page). Titles that are a bare number
+    without a leading zero count. A book is accepted if no such title points nowhere, there are 12 and a tenth of the pages of them and they
+    are 70 % of the outline, both pages rise throughout, none points to a contents page, 95 % have one offset, and those
+    span 12 pages and a fifth of the book and rise by one for 10 rows and a quarter of them. Books without pages or contents are not accepted.
+    """
+    n = F.col("page_count")
+    t = X.clean_text(F.col("title"))
+    rows = outline.join(page_counts.select("book", "page_count"), "book", "left").join(contents.select("book", F.col("page").alias("page_number"), F.lit(True).alias("_toc")).distinct(), ["book", "page_number"], "left")
+    rows = rows.select("book", "seq", "node_id", F.when(t.rlike("^[1-9][0-9]{0,4}$"), t.cast("int")).alias("printed"), F.col("page_number").alias("page"), "page_count", "_toc")
+    valid = F.coalesce(F.col("page").between(1, n), F.lit(False))
+    numbers = rows.where("printed is not null")
+    steps = scans(chunked(numbers, "book", "seq", "node_id"), "book", {"_b": (F.struct("printed", "page"), "last", False)})
+    back = (F.col("printed") <= F.col("_b.printed")) | (F.col("page") <= F.col("_b.page"))
+    whole = rows.groupBy("book").agg(F.count(F.lit(1)).alias("rows"), F.max("page_count").alias("page_count"), F.count("printed").alias("numbers"), F.count_if(F.col("printed").isNotNull() & ~valid).alias("lost"), F.count_if(F.col("printed").isNotNull() & F.col("_toc")).alias("on_contents"))
+    stepped = steps.groupBy("book").agg(F.count_if(back).alias("back_steps"))
+    by_offset = numbers.where("page is not null").groupBy("book", (F.col("page") - F.col("printed")).alias("offset")).agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("lo"), F.max("page").alias("hi"))
+    best = by_offset.groupBy("book").agg(F.max(F.struct("n", (-F.col("offset")).alias("down"), "offset", (F.col("hi") - F.col("lo") + 1).alias("span"))).alias("b")).select("book", F.col("b.offset").alias("offset"), F.col("b.n").alias("support"), F.col("b.span").alias("span"))
+    same = numbers.join(best.select("book", "offset"), "book").where("page - printed = offset")
+    runs = longest_run(same, "book", "seq", "node_id", "printed", "page")
+    out = whole.join(stepped, "book", "left").join(best, "book", "left").join(runs, "book", "left").join(contents.select("book", F.lit(True).alias("_has")).distinct(), "book", "left")
+    ok = (
+        F.col("_has") & (F.col("lost") == 0) & (F.col("numbers") >= F.greatest(F.lit(12), F.ceil(n / 10))) & (F.col("numbers") * 10 >= F.col("rows") * 7) & (F.col("back_steps") == 0) & (F.col("on_contents") == 0)
+        & (F.col("support") * 20 >= F.col("numbers") * 19) & (F.col("span") >= F.greatest(F.lit(12), F.floor((n + 4) / 5))) & (F.col("longest") >= F.greatest(F.lit(10), F.floor(F.col("support") / 4)))
+    )
+    return out.select("book", "rows", "numbers", "lost", "on_contents", F.coalesce("back_steps", F.lit(0)).alias("back_steps"), "offset", "support", "span", "longest", F.coalesce(ok, F.lit(False)).alias("accepted"))
+
+
+def outline_anchors(outline: DataFrame, page_counts: DataFrame, contents: DataFrame) -> DataFrame:
+    """(book, pdf_page, printed_page, offset): up to five page numbers of each accepted outline, spread over the book.
+
+    Five targets, behind the contents or over the whole book if those lie in the last 30 %; each takes the nearest page not
+    taken yet, the earlier one on ties. The pages of one book are one row's array.
+    """
+    good = outline_gates(outline, page_counts, contents).where("accepted").select("book", "offset")
+    t = X.clean_text(F.col("title"))
+    rows = outline.where(t.rlike("^[1-9][0-9]{0,4}$")).join(good, "book").where(F.col("page_number") - t.cast("int") == F.col("offset"))
+    pages = rows.groupBy("book", "offset").agg(F.array_sort(F.collect_set("page_number")).alias("pages"))
+    span = contents.where("page is not null").groupBy("book").agg(F.min("page").alias("first"), F.max("page").alias("last"))
+    both = pages.join(span, "book").join(page_counts.select("book", "page_count"), "book")
+    n = F.col("page_count")
+    start = F.least(F.col("last") + 1, n)
+    spread = lambda base, size, parts: [base + F.bround(size * F.lit(f)).cast("int") for f in parts]
+    front = F.array(F.least(start + 9, n), *spread(start, F.greatest(n - start, F.lit(1)), (0.2, 0.4, 0.6, 0.97)))
+    targets = F.when(F.col("first") > n * 0.70, F.array(F.lit(10), *spread(F.lit(0), n, (0.2, 0.4, 0.6, 0.8)))).otherwise(front)
+
+    def take(chosen: Column, target: Column) -> Column:
+        nearest = F.array_min(F.transform(F.array_except("pages", chosen), lambda p: F.struct(F.abs(p - target).alias("far"), p.alias("page"))))["page"]
+        return F.when(nearest.isNull(), chosen).otherwise(F.array_append(chosen, nearest))
+
+    picked = F.array_sort(F.aggregate(targets, F.array().cast("array<int>"), take))
+    out = both.select("book", "offset", F.explode(picked).alias("pdf_page"))
+    # five rows a book at most, behind many branches
+    return cut_lineage(out.select("book", "pdf_page", (F.col("pdf_page") - F.col("offset")).alias("printed_page"), "offset"))
+
+
 def body_sample(books: DataFrame) -> DataFrame:
     """(book, page): pages of the body to look at, from (book, page_count, first_toc, last_toc, toc_pages).
 
@@ -199,3 +256,10 @@ def verify(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     )
     good = (F.col("contradicted") == 0) & (F.col("confirmed") >= 3) & (F.col("spread") >= F.greatest(F.lit(5), F.floor(F.col("whole") / 2)))
     return out.withColumn("verified", F.coalesce(good, F.lit(False))).drop("whole")
+
+
+def verified_anchors(candidates: DataFrame, labels: DataFrame) -> DataFrame:
+    """(book, pdf_page, printed_page, offset): the confirmed candidates of the books that `verify` accepts."""
+    good = verify(candidates, labels).where("verified").select("book")
+    confirmed = labels.where("numbering = 'arabic'").select("book", "pdf_page", "printed_page").distinct()
+    return candidates.join(good, "book").join(confirmed, ["book", "pdf_page", "printed_page"], "left_semi").select("book", "pdf_page", "printed_page", (F.col("pdf_page") - F.col("printed_page")).alias("offset"))

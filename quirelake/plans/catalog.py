@@ -225,8 +225,7 @@ def offset_votes(spark, sf):
 
 
 def _fitted(spark, sf):
-    labels = layout.edge_labels(table(spark, sf, "page_lines"), HEIGHT).select("book", "numbering", F.col("page").alias("pdf_page"), F.col("value").alias("printed_page"))
-    return offsets.fit(offsets.row_anchors(table(spark, sf, "toc_rows")), labels)
+    return offsets.fit(offsets.row_anchors(table(spark, sf, "toc_rows")), _labels(spark, sf))
 
 
 @query()
@@ -239,13 +238,56 @@ def offset_mapped_rows(spark, sf):
     return offsets.map_rows(table(spark, sf, "toc_rows"), _fitted(spark, sf), table(spark, sf, "previews"))
 
 
-@query()
-def title_anchors(spark, sf):
+def _titles(spark, sf):
     rows, lines = table(spark, sf, "toc_rows"), table(spark, sf, "page_lines")
     pages = lines.select("book", F.col("page_number").alias("page"), "line_no", "line_id", "text").where("text is not null")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "text"))), lambda x: x["text"]), " ")
-    contents = rows.select("book", F.col("source_page").alias("page")).distinct()
-    return offsets.title_anchors(rows, pages.groupBy("book", "page").agg(text.alias("text")), contents)  # lines of one page
+    return offsets.title_anchors(rows, pages.groupBy("book", "page").agg(text.alias("text")), _contents(rows))  # lines of one page
+
+
+def _contents(rows: DataFrame) -> DataFrame:
+    return rows.where("source_page is not null").select("book", F.col("source_page").alias("page")).distinct()
+
+
+def _counts(spark, sf):
+    return table(spark, sf, "previews").select(F.col("path").alias("book"), "page_count")
+
+
+def _labels(spark, sf):
+    return layout.edge_labels(table(spark, sf, "page_lines"), HEIGHT, WIDTH).select("book", "numbering", F.col("page").alias("pdf_page"), F.col("value").alias("printed_page"))
+
+
+def _collected(spark, sf):
+    return offsets.collected(body_sample_pages(spark, sf), _labels(spark, sf), _counts(spark, sf), _titles(spark, sf))
+
+
+@query()
+def title_anchors(spark, sf):
+    return _titles(spark, sf)
+
+
+@query()
+def collected_anchors(spark, sf):
+    """Anchors from the labels of sampled pages, and from titles where those tell too little."""
+    return _collected(spark, sf)
+
+
+@query()
+def collected_fit(spark, sf):
+    """Offsets from collected anchors alone, without what the contents rows themselves say about pages of the file."""
+    return offsets.fit(_collected(spark, sf), _labels(spark, sf)).select("book", "numbering", "offset", F.to_json("segments").alias("segments"), "warning")
+
+
+@query()
+def outline_gates(spark, sf):
+    return offsets.outline_gates(table(spark, sf, "outline"), _counts(spark, sf), _contents(table(spark, sf, "toc_rows")))
+
+
+@query()
+def outline_anchors(spark, sf):
+    """Page numbers of old outlines that may serve as anchors, confirmed by the labels of their pages."""
+    candidates = offsets.outline_anchors(table(spark, sf, "outline"), _counts(spark, sf), _contents(table(spark, sf, "toc_rows")))
+    return offsets.verified_anchors(candidates, _labels(spark, sf))
 
 
 _SPREAD = lambda base, size, parts: ", ".join(f"{base} + cast(round_even({size} * {p}::double, 0) as int)" for p in parts)
@@ -265,14 +307,13 @@ def body_sample_pages(spark, sf):
 
 @query()
 def anchors_verified(spark, sf):
-    labels = layout.edge_labels(table(spark, sf, "page_lines"), HEIGHT).select("book", "numbering", F.col("page").alias("pdf_page"), F.col("value").alias("printed_page"))
     rows = offsets.row_anchors(table(spark, sf, "toc_rows")).where("numbering = 'arabic'").select("book", "pdf_page", "printed_page")
-    return offsets.verify(rows, labels)
+    return offsets.verify(rows, _labels(spark, sf))
 
 
 @query()
 def edge_page_labels(spark, sf):
-    return layout.edge_labels(table(spark, sf, "page_lines"), HEIGHT)
+    return layout.edge_labels(table(spark, sf, "page_lines"), HEIGHT, WIDTH)
 
 
 @query(
@@ -326,7 +367,7 @@ def response_entries(spark, sf):
 def _label_batches(lines: DataFrame, shift: int) -> DataFrame:
     """(book, pages, labels): all pages of the lines in batches of four, with the labels on them."""
     shape = F.struct("page", "numbering", "value")
-    labels = layout.edge_labels(lines, HEIGHT).groupBy("book", "page").agg(F.collect_list(shape).alias("l"))  # one page
+    labels = layout.edge_labels(lines, HEIGHT, WIDTH).groupBy("book", "page").agg(F.collect_list(shape).alias("l"))  # one page
     pages = lines.select("book", F.col("page_number").alias("page")).distinct().join(labels, ["book", "page"], "left")
     batches = pages.groupBy("book", F.floor((F.col("page") + shift) / 4).alias("b")).agg(F.collect_list("page").alias("pages"), F.flatten(F.collect_list("l")).alias("labels"))  # four pages
     return batches.select("book", "pages", "labels")

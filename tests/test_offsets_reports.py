@@ -6,23 +6,66 @@ from quirelake.plans import catalog
 from quirelake.streaming import reports as live
 
 
-def test_one_offset_despite_conflicting_readings():
-    good = [(p, 10) for p in (12, 13, 17, 18, 91, 172)]
-    noise = [(12, -39), (13, -39), (17, 16), (18, 16)]
-    assert offsets.fit_one(good + noise, {}) == (10, [(10, 1, None, 6)], None)
-
-
-def test_ladder():
+def test_ladder(spark):
+    """Every outcome of the fit: pages with their offsets, labels of pages between, result."""
     many = lambda off, pages: [(p, off) for p in pages]
-    assert offsets.fit_one([], {}) == (None, [], None)
-    assert offsets.fit_one(many(1, (1, 2)), {}) == (None, [], "conflict")
-    assert offsets.fit_one(many(1, (1, 2, 3)) + many(2, (7, 8, 9)), {}) == (None, [], "conflict")
-    assert offsets.fit_one(many(1, (1, 2, 3)) + many(2, (9,)), {})[2] == "edge"
-    assert offsets.fit_one(many(1, range(1, 9)) + many(2, (20, 21)) + many(3, (30, 31)), {})[2] == "many"
-    assert offsets.fit_one(many(1, (1, 2, 3, 30)) + many(2, (9, 10)), {})[2] == "interleaved"
-    assert offsets.fit_one(many(1, (1, 2, 3)) + many(4, (30, 31)), {})[2] == "unsure"
-    labels = {p: [p - (1 if p < 17 else 4)] for p in range(40)}
-    assert offsets.fit_one(many(1, (1, 2, 3)) + many(4, (30, 31)), labels) == (1, [(1, 1, 12, 3), (4, 13, None, 2)], None)
+    good = [(p, 10) for p in (12, 13, 17, 18, 91, 172)] + [(12, -39), (13, -39), (17, 16), (18, 16)]
+    cases = [
+        (good, {}, (10, [(10, 1, None, 6)], None)), (many(1, (1, 2)), {}, (None, [], "conflict")), (many(1, (1, 2, 3)) + many(2, (7, 8, 9)), {}, (None, [], "conflict")),
+        (many(1, (1, 2, 3)) + many(2, (9,)), {}, (1, [(1, 1, None, 3)], "edge")), (many(1, (1, 2, 9)) + many(2, (5,)), {}, (1, [(1, 1, None, 3)], None)), (many(1, range(1, 9)) + many(2, (20, 21)) + many(3, (30, 31)), {}, (1, [], "many")),
+        (many(1, (1, 2, 3, 30)) + many(2, (9, 10)), {}, (1, [], "interleaved")), (many(1, (1, 2, 3)) + many(4, (30, 31)), {}, (1, [], "unsure")),
+        (many(1, (1, 2, 3)) + many(4, (30, 31)), {p: 1 if p < 17 else 4 for p in range(40)}, (1, [(1, 1, 12, 3), (4, 13, None, 2)], None)),
+        (many(4, (30, 31, 32)) + many(1, (1, 2)), {p: 1 if p < 9 else 4 for p in range(40)}, (4, [(1, 1, 4, 2), (4, 5, None, 3)], None)),
+    ]
+    anchors = [(f"b{i}", "arabic", p, p - off, off) for i, (pages, _, _) in enumerate(cases) for p, off in pages * 2]
+    labels = [(f"b{i}", "arabic", p, p - off) for i, (_, shown, _) in enumerate(cases) for p, off in shown.items()]
+    shape = "book string, numbering string, pdf_page int, printed_page int"
+    df = spark.createDataFrame(anchors + [(None, "arabic", 1, 1, 0), ("x", None, 1, 1, 0), ("y", "arabic", None, 1, None)], shape + ", offset int")
+    got = {r["book"]: (r["offset"], [tuple(s) for s in r["segments"]], r["warning"]) for r in offsets.fit(df, spark.createDataFrame(labels, shape)).collect()}
+    assert got == {f"b{i}": want for i, (_, _, want) in enumerate(cases)}
+    assert offsets.fit(df.where("pdf_page < 0")).count() == 0
+
+
+NUMBERS = [(str(n), n + 10) for n in range(1, 182)]
+FRONT = [("封面", 1), ("书名", 3), ("版权", 4), ("前言", 5), ("目录", 10)]
+
+
+def outlines(spark):
+    swap = [*NUMBERS[:49], NUMBERS[50], NUMBERS[49], *NUMBERS[51:]]
+    books = {
+        "good": FRONT + NUMBERS, "twice": [*NUMBERS[:79], ("79", 90), *NUMBERS[80:]], "swapped": swap, "changed": [(str(n), n + (9 if n <= 90 else 10)) for n in range(1, 182)], "few": NUMBERS[:12], "onto contents": NUMBERS,
+        "zeroes": [("0" + t, p) for t, p in NUMBERS], "sections": [(t + ".1", p) for t, p in NUMBERS], "lost": [*NUMBERS[:50], ("51", None), *NUMBERS[51:]], "no contents": NUMBERS, "nothing": [(None, None)],
+    }
+    data = [(b, i, len(b) * 1000 + i, t, p) for b, rows in books.items() for i, (t, p) in enumerate(rows)]
+    outline = spark.createDataFrame(data, "book string, seq int, node_id int, title string, page_number int")
+    pages = spark.createDataFrame([(b, 191) for b in books], "book string, page_count int")
+    contents = spark.createDataFrame([(b, 60 if b == "onto contents" else 10 if b == "good" else 5) for b in books if b != "no contents"], "book string, page int")
+    return outline, pages, contents
+
+
+def test_outline_anchors(spark):
+    outline, pages, contents = outlines(spark)
+    candidates = offsets.outline_anchors(outline, pages, contents)
+    found = sorted(map(tuple, candidates.collect()))
+    assert len(found) == 5 and {(b, o) for b, _, _, o in found} == {("good", 10)}
+    assert found[0][1] <= 25 and found[-1][1] >= 170
+    gates = {r["book"]: r.asDict() for r in offsets.outline_gates(outline, pages, contents).collect()}
+    assert len(gates) == 11 and gates["swapped"]["back_steps"] == 1 and gates["onto contents"]["on_contents"] == 1 and gates["lost"]["lost"] == 1 and gates["zeroes"]["numbers"] == 0
+    assert offsets.outline_anchors(outline.where("seq < 0"), pages, contents).count() == 0
+    label = lambda shift: spark.createDataFrame([("good", "arabic", p, p - shift(p)) for p in range(1, 192)], "book string, numbering string, pdf_page int, printed_page int")
+    assert offsets.verified_anchors(candidates, label(lambda p: 10)).count() == 5
+    assert offsets.verified_anchors(candidates, label(lambda p: 9)).count() == 0
+    assert offsets.verified_anchors(candidates, label(lambda p: 11 if 80 <= p <= 120 else 10)).count() == 0
+
+
+def test_collected_anchors(spark):
+    shape = "book string, numbering string, pdf_page int, printed_page int"
+    labels = spark.createDataFrame([("a", "arabic", p, p - 2) for p in (3, 4, 5, 9)] + [("b", "arabic", 3, 1), ("b", "roman", 4, 0), ("b", "arabic", 5, 999), ("c", "arabic", 3, 3)], shape)
+    sample = spark.createDataFrame([(b, p) for b in "abc" for p in (3, 4, 5)], "book string, page int")
+    counts = spark.createDataFrame([("a", 20), ("b", 20)], "book string, page_count int")
+    titles = spark.createDataFrame([("a", 1, 7, 5, 2), ("b", 2, 8, 5, 3)], "book string, toc_id int, pdf_page int, printed_page int, offset int")
+    got = sorted(map(tuple, offsets.collected(sample, labels, counts, titles).collect()))
+    assert got == [("a", "arabic", p, p - 2, 2, "page-label") for p in (3, 4, 5)] + [("b", "arabic", 3, 1, 2, "page-label"), ("b", "arabic", 8, 5, 3, "chapter-title")]
 
 
 def test_fit_and_map(spark):
@@ -92,10 +135,31 @@ def test_words_without_width(spark):
     assert [(r["page"], r["x"]) for r in out[2:]] == [(3, 10.0)] * 3 + [(3, 300.0)] * 3
 
 
+def test_lines_of_words():
+    """Against the definition: the middle of all centres of the last line."""
+    import random
+    from statistics import median
+
+    rnd = random.Random(2)
+    for _ in range(200):
+        mids = sorted(rnd.choice([rnd.uniform(0, 60), rnd.randrange(12) * 5.0]) for _ in range(rnd.randrange(40)))
+        want, rows = [], []
+        for m in mids:
+            if not rows or abs(m - median(rows[-1])) > 4:
+                rows.append([])
+            rows[-1].append(m)
+            want.append(len(rows) - 1)
+        assert layout.line_numbers(mids, 4) == want
+
+
 def test_edge_labels(spark):
-    rows = [("b", 1, "12", 5.0, 15.0), ("b", 2, "iv Title here", 590.0, 600.0), ("b", 3, "13", 300.0, 310.0), ("b", 4, None, 1.0, 2.0), ("b", 1, "12", 5.0, 15.0)]
-    df = spark.createDataFrame(rows, "book string, page_number int, text string, y double, bottom double")
-    assert sorted(map(tuple, layout.edge_labels(df, 600).collect())) == [("b", 1, "arabic", 12), ("b", 2, "roman", 4)]
+    rows = [
+        ("b", 1, "12", 60.0, 90.0, 5.0, 15.0), ("b", 1, "12", 60.0, 90.0, 5.0, 15.0), ("b", 2, "iv Title here", 60.0, 200.0, 590.0, 600.0), ("b", 3, "13", 60.0, 90.0, 300.0, 310.0), ("b", 4, None, 60.0, 90.0, 1.0, 2.0),
+        ("b", 5, "i think this is a mix", 100.0, 300.0, 1.0, 2.0), ("b", 6, "A longer title 14", 60.0, 400.0, 1.0, 2.0), ("b", 7, "Title 15", 60.0, None, 1.0, 2.0), ("b", 8, "16 Title 17", None, 400.0, 1.0, 2.0), ("b", 9, "", 1.0, 1.0, 1.0, 1.0),
+        ("b", 10, "18 Title 18", 60.0, 400.0, 1.0, 2.0),
+    ]
+    df = spark.createDataFrame(rows, "book string, page_number int, text string, x double, right_edge double, y double, bottom double")
+    assert sorted(map(tuple, layout.edge_labels(df, 600, 420).collect())) == [("b", 1, "arabic", 12), ("b", 2, "roman", 4), ("b", 6, "arabic", 14), ("b", 10, "arabic", 18)]
 
 
 def test_response_checks(spark):
@@ -137,7 +201,7 @@ def test_label_lists_of_batches(spark, rows, tmp_path):
     assert got == [("b", 1, "known", "arabic", 1), ("b", 1, "known", "roman", 5), ("b", 2, "conflict", None, None)]
     day = lambda n: datetime.datetime(2025, 1, n)
     lines = [("b", 1, "12", 5.0, 15.0, day(1)), ("b", 2, "no label here", 300.0, 310.0, day(1)), ("b", 3, "text", 300.0, 310.0, day(1)), ("b", 3, "14", 590.0, 600.0, day(20))]
-    spark.createDataFrame(lines, "book string, page_number int, text string, y double, bottom double, loaded_at timestamp").write.parquet(str(tmp_path / "page_lines.parquet"))
+    spark.createDataFrame(lines, "book string, page_number int, text string, y double, bottom double, loaded_at timestamp").selectExpr("*", "50.0D as x", "400.0D as right_edge").write.parquet(str(tmp_path / "page_lines.parquet"))
     spark.createDataFrame([("b", p) for p in (1, 2, 3, 4, None)], "book string, pdf_page int").write.parquet(str(tmp_path / "toc_rows.parquet"))
     got = rows(catalog.label_reuse(spark, str(tmp_path)))
     assert got == [("b", 1, "known", "arabic", 12), ("b", 2, "empty", None, None), ("b", 3, "conflict", None, None), ("b", 4, "missing", None, None)]
