@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm import residue_exemplars as X
@@ -31,12 +31,83 @@ CONTAINED, MENTIONED = 0.75, 0.6
 COVERED = {"error": 0.5, "script": 0.5, "filler": 0.8, "around": 0.8}
 #: Share of a document's content that error pages and notices have to make up.
 INSTEAD = 0.5
-#: Lines without an end of a sentence that may stand around a notice, such as the title of the page.
-TITLES = 3
+# The notations of open places, (name, opening, closing); the longer ones first.
+_NOTATIONS = (
+    ("{{{", "{{{", "}}}"), ("{{", "{{", "}}"), ("{%", "{%", "%}"), ("<%", "<%", "%>"), ("<?", "<?", "?>"), ("${", "${", "}"), ("#{", "#{", "}"), ("$(", "$(", ")"), ("%(", "%(", ")"), ("[[", "[[", "]]"), ("@@", "@@", "@@"),
+    ("##", "##", "##"), ("__", "__", "__"), ("&lt;", "&lt;", "&gt;"), ("«", "«", "»"), ("【", "【", "】"), ("〔", "〔", "〕"), ("（", "（", "）"), ("{", "{", "}"), ("[", "[", "]"), ("<", "<", ">"), ("(", "(", ")"), ("%", "%", "%"), ("$", "$", "$"),
+)
+#: Notations that mean other things as well: there the name or a word that asks for something has to speak for an open place.
+_AMBIGUOUS = {"##", "__", "&lt;", "«", "【", "〔", "（", "{", "[", "<", "(", "%", "$"}
+_PLACE = re.compile(r"(?=[{<$#@_&«\[(【〔（%])(?:" + "|".join(rf"(?P<n{i}>(?<![A-Za-z0-9_\\]){re.escape(o)}(?=[^\n])" + (r"[^\n{}]*?" if o[-1] == "{" else r"[^\n]*?") + rf"{re.escape(c)})" if o[0] in "_%$" and o == c else rf"(?P<n{i}>{re.escape(o)}" + (r"[^\n{}]*?" if o[-1] == "{" else r"[^\n]*?") + rf"{re.escape(c)})" for i, (_, o, c) in enumerate(_NOTATIONS)) + ")")
+_PLACE_HINT = re.compile(r"[{<$#@_&«\[(【〔（%]|undefined")
+_NAME = re.compile(r"[=#/*-]?\s*(?:echo\s+)?\$?[^\W\d]\w*(?:\.\w+)*(?:\s*\|\s*\w+)*\s*;?")
+_PART = re.compile(r"[^\W\d_]+")
+_UNDEFINED = re.compile(r"(?<![\w'’“\"‘`])undefined(?![\w'’”\"`])")
+_SUBJECT = re.compile(r"\b(?:is|are|was|were|be|been|being|remains?|left|leaves?|becomes?|an?|the|any|some|as|or|and|term|value|called|of)\s+$", re.I)
+_GOES_ON = re.compile(r"\s+(?!(?:is|was|has|had|by|in|on|at|of|for|to|from|with|and)\b)[a-z]{3,}")
+_ENGLISH = re.compile(r"\b(?:the|of|is|was|by|for|and|when|where|this|that)\b", re.I)
+_FIELDS, _ASK, _FORMULA, _ABOUT = (frozenset(x.split()) for x in (X.FIELDS, X.ASK, X.FORMULA, X.ABOUT))
+
+
+def place_tokens(span: str, notation: str) -> frozenset[str]:
+    """Index tokens of a span in the notation of an open place: the notation, the kind of what it holds, and what speaks for a place."""
+    _, opening, closing = next(x for x in _NOTATIONS if x[0] == notation)
+    inner = span[len(opening) : len(span) - len(closing)].strip()
+    parts = [w.casefold() for w in _PART.findall(inner)]
+    kind = "word" if _NAME.fullmatch(inner) else "number" if inner.isdigit() and len(inner) < 3 else "words" if len(parts) > 1 or _HAN.search(inner) else "other"
+    out = {f"\ue001{notation}", f"\ue002{kind}"}
+    if kind == "word" and any(w in _FIELDS for w in parts) and (inner.islower() or inner.isupper() or notation not in ("«", "[")):
+        out.add("\ue003field")
+    if kind == "words" and parts and parts[-1] in _FIELDS and len(parts) < 4 and inner[:1].isupper():
+        out.add("\ue003field")
+    if any(w in _ASK for w in parts) or any(a in inner for a in _ASK if a >= "\u3400"):
+        out.add("\ue003ask")
+    if inner == "object Object":
+        out.add("\ue003object")
+    return frozenset(out)
+
+
+def places(text: str) -> list[tuple[int, int, frozenset[str]]]:
+    """(start, end, index tokens) of all spans in the notation of an open place."""
+    out = []
+    for m in _PLACE.finditer(text) if _PLACE_HINT.search(text) else ():
+        out.append((m.start(), m.end(), place_tokens(m[0], _NOTATIONS[int(m.lastgroup[1:])][0])))
+    return out
+
+
+@lru_cache(maxsize=1)
+def place_exemplars() -> tuple[frozenset[str], ...]:
+    return tuple(dict.fromkeys(t for line in X.lines(X.PLACE) for _, _, t in places(line)))
+
+
+def is_open(tokens_: frozenset[str], weight: dict[str, float], formula: bool) -> bool:
+    """Whether a span is an open place: the best exemplar's TF-IDF containment in it, found by notation, is high enough.
+
+    In a line about formulas a notation that means both counts only with the name of a field or a word that asks for something.
+    """
+    notation = next(t for t in tokens_ if t[0] == "\ue001")
+    if notation[1:] in _AMBIGUOUS and formula and not tokens_ & {"\ue003ask", "\ue003field"}:
+        return False
+    for e in place_exemplars():
+        if notation in e:
+            whole = sum(weight.get(t, 1.0) for t in e)
+            strong = {t for t in e if t[0] == "\ue003"}
+            if sum(weight.get(t, 1.0) for t in e & tokens_) >= CONTAINED * whole and strong <= tokens_:
+                return True
+    return False
+
+
+def _undefined(text: str) -> Iterator[tuple[int, int]]:
+    """Where a programme's "undefined" stands for a value; not where it is said of something."""
+    for m in _UNDEFINED.finditer(text):
+        start = max(text.rfind("\n", 0, m.start()), text.rfind(". ", 0, m.start()), text.rfind("。", 0, m.start())) + 1
+        line = text[start : (text.find("\n", m.end()) + 1 or len(text) + 1) - 1]
+        before = text[start : m.start()]
+        if _ENGLISH.search(line) and (_SUBJECT.search(before) and not re.search(r"(?:[a-z]{3,}ing|edited by|written by)\s+$", before) or _GOES_ON.match(text, m.end())):
+            continue
+        yield m.span()
+
 
-_SLOT = re.compile(r"(?=[{%<$#@_&«\[(【〔（u])(?:" + "|".join(f"(?:{p})" for p in X.lines(X.SLOTS)) + ")")
-#: What every open place has, for a quick look.
-_SLOT_HINT = re.compile(r"[{}%<$@_&«\[【〔]|##|undefined|（(?:请|待|此|在)|\([IiEe]n")
 _TAG = re.compile(r"</?(?:h[1-6]|p|div|span|noscript|br|b|i|em|strong|body|html|head|title|center|pre|code)\b[^<>]*>", re.I)
 _CUT = re.compile(r"(?<=[.!?…])\s+|(?<=[。？！])|\n")
 _TOKEN = re.compile(rf"{SLOT}|[a-z]*\d[a-z\d]*|[^\W\d_]+(?:['’][^\W\d_]+)?|______+")
@@ -62,23 +133,57 @@ def tokens(window: str) -> list[str]:
     return out
 
 
-def marked(text: str) -> str:
-    return _SLOT.sub(SLOT, text) if _SLOT_HINT.search(text) else text
+def marked(text: str, weight: dict[str, float]) -> str:
+    """The text with its open places replaced by one token."""
+    if not _PLACE_HINT.search(text):
+        return text
+    spans = list(_undefined(text))
+    for start, end, found in places(text):
+        lo = max(text.rfind(c, 0, start) + len(c) for c in ("\n", "。", ". "))
+        hi = min((i for c in ("\n", "。", ". ") if (i := text.find(c, end)) >= 0), default=len(text))
+        around = {w.casefold() for w in _PART.findall(text[lo:start] + " " + text[end:hi])}
+        if around & _ABOUT or any(w in text[lo:start] or w in text[end:hi] for w in _ABOUT if w >= "\u3400"):
+            continue
+        formula = bool(around & _FORMULA) or any(w in text[lo:hi] for w in _FORMULA if w >= "\u3400")
+        if is_open(found, weight, formula):
+            spans.append((start, end))
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], SLOT]
+            at = end
+    return "".join(out) + text[at:]
 
 
 def windows(text: str) -> list[str]:
-    """Passage windows: lines and sentences, with tags taken out and open places marked."""
-    return [w for w in (x.strip() for x in _CUT.split(_TAG.sub("\n", marked(text)))) if w]
+    """Passage windows: lines and sentences, with tags taken out."""
+    return [w for w in (x.strip() for x in _CUT.split(_TAG.sub("\n", text))) if w]
+
+
+_PLAIN = re.compile(r"[A-Z]?[a-z]+(?:,? [a-z]+){4,}[.!?]?")
+_ENDINGS, _FREQUENT = frozenset("\ue004" + e for e in X.LATIN_ENDINGS.split()), frozenset(X.FREQUENT)
+
+
+def endings(window: str) -> list[str]:
+    """Index tokens of a window that is nothing but plain words of which none is frequent in a language: their endings."""
+    if not _PLAIN.fullmatch(window):
+        return []
+    words = [w.casefold() for w in _PART.findall(window)]
+    return [] if _FREQUENT.intersection(words) else ["\ue004" + w[-2:] for w in words]
 
 
 def occurring(text: str, wanted: frozenset[str]) -> set[str]:
     """The wanted tokens that occur in a whole text."""
     found = set()
-    for w in set(_TOKEN.findall(marked(text).casefold())):
-        if _HAN.search(w):
+    for w in set(_TOKEN.findall(text.casefold())):
+        if w[-1] >= "\u3400" or w[0] >= "\u3400" or not w.isascii() and _HAN.search(w):
             found |= wanted.intersection(tokens(w))
         elif w.replace("’", "'") in wanted:
             found.add(w.replace("’", "'"))
+    for _, _, t in places(text):
+        found |= wanted & t
+    for w in windows(text):
+        found |= wanted.intersection(endings(w))
     return found
 
 
@@ -117,13 +222,13 @@ def exemplars() -> list[Exemplar]:
     out = [Exemplar("slot", frozenset([SLOT]))]
     for label, text in (("error", X.ERROR), ("script", X.SCRIPT), ("filler", X.FILLER), ("around", X.AROUND), ("mention", X.MENTION)):
         for line in X.lines(text):
-            found = frozenset(t for w in windows(line) for t in tokens(w))
+            found = frozenset(t for w in windows(marked(line, {})) for t in tokens(w))
             out.append(Exemplar(label, found))
     return out
 
 
 def vocabulary() -> frozenset[str]:
-    return frozenset(t for e in exemplars() for t in e.tokens)
+    return frozenset(t for e in exemplars() for t in e.tokens) | _ENDINGS | frozenset(t for e in place_exemplars() for t in e)
 
 
 def build_index(documents: int, counts: dict[str, int]) -> Index:
@@ -133,9 +238,9 @@ def build_index(documents: int, counts: dict[str, int]) -> Index:
     for i, e in enumerate(index.exemplars):
         for t in e.tokens:
             index.postings.setdefault(t, []).append(i)
-    index.weight = {t: max(idf(counts.get(t, 0)), 0.1) for t in index.postings}
+    index.weight = {t: max(idf(counts.get(t, 0)), 0.1) for t in vocabulary()}
     index.whole = [sum(index.weight[t] for t in e.tokens) for e in index.exemplars]
-    known = sorted(index.weight.values())
+    known = sorted(index.weight[t] for t in index.postings)
     # a token outside the index weighs what a middling one does
     index.other = known[len(known) // 2] if known else 1.0
     # rare: in fewer documents than the 0.6th power of their number
@@ -213,18 +318,46 @@ DRAWN = {"error": 2, "script": 2, "filler": 3}
 ALONE = frozenset(["platzhalter", "placeholder", "blindtext", "platzhaltertext"])
 
 
+#: Words that a passage of made-up Latin has at least, the share of different ones it has at most, and of its weight in Latin endings.
+LATIN_WORDS, LATIN_DIFFERENT, LATIN_COVERED = 12, 0.8, 0.85
+
+
+def made_up(passage: list[str], index: Index) -> bool:
+    """Whether windows that follow each other are filler drawn from a few made-up Latin words: Latin endings cover their weight, and the same
+    words come again and again, as frequent words do in a language, which they lack."""
+    words = [w.casefold() for x in passage for w in _PART.findall(x)]
+    if len(words) < LATIN_WORDS or len(set(words)) > LATIN_DIFFERENT * len(words):
+        return False
+    found = [t for x in passage for t in endings(x)]
+    total = sum(index.weight.get(t, index.other) for t in found)
+    return sum(index.weight[t] for t in found if t in _ENDINGS) >= LATIN_COVERED * total
+
+
 def judge(text: str | None, index: Index) -> str | None:
-    """The kind of residue a whole document is kept out for, None if it is usable."""
+    """The kind of residue a whole document is kept out for, None if it is usable.
+
+    An open place or a passage of filler counts wherever it is. An error page or a notice has to stand for the content: it is as long
+    as the sentences beside it; lines without the end of a sentence, such as titles and menus, count beside it only beyond its own length.
+    """
     if text is None:
         return None
-    text = marked(text)
+    text = marked(text, index.weight)
+    parts = windows(text)
+    passage: list[str] = []
+    filler = False
+    for w in parts:
+        if endings(w):
+            passage.append(w)
+        else:
+            filler = filler or made_up(passage, index)
+            passage = []
+    filler = filler or made_up(passage, index)
     if not index.reaches(text.casefold().replace("’", "'")):
-        return None
-    prose = notice = 0
-    titles = 0
-    slot = filler = False
+        return "filler" if filler else None
+    prose = notice = titles = 0
+    slot = False
     kinds: dict[str, int] = {}
-    for w in windows(text):
+    for w in parts:
         label = label_window(w, index) if index.reaches(w.casefold().replace("’", "'")) else None
         if label == "slot":
             slot = True
@@ -233,14 +366,13 @@ def judge(text: str | None, index: Index) -> str | None:
         elif label in ("error", "script"):
             notice += len(w)
             kinds[label] = kinds.get(label, 0) + len(w)
+        elif label is None and _END.search(w):
+            prose += len(w)
         elif label is None:
-            if not _END.search(w) and titles < TITLES:
-                titles += 1
-            else:
-                prose += len(w)
+            titles += len(w)
     if slot:
         return "slot"
-    if notice and notice >= INSTEAD * (notice + prose):
+    if notice and notice >= INSTEAD * (notice + prose + max(0, titles - notice)):
         return max(kinds, key=lambda k: kinds[k])
     return "filler" if filler else None
 
@@ -271,24 +403,27 @@ def count_tokens(df: DataFrame, text: str) -> tuple[int, dict[str, int]]:
     return counts.pop("", 0), counts
 
 
+def _kind(df: DataFrame, text: str) -> Column:
+    """The kind of residue of a text column, from counts over all its rows. The index is built once a task."""
+    documents, counts = count_tokens(df, text)
+
+    @F.pandas_udf("string")
+    def kinds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = build_index(documents, counts)
+        for texts in batches:
+            yield pd.Series([judge(t, index) for t in texts], dtype=object)
+
+    return kinds(F.col(text).cast("string"))
+
+
 def judged(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row_id, kind): what each document is kept out for, null if it is usable.
 
     Null and blank texts are usable as far as this operator goes; repeated rows count each; an empty table gives an empty one.
     """
-    documents, counts = count_tokens(df, text)
-    kind = "bigint" if dict(df.dtypes)[row_id] == "bigint" else dict(df.dtypes)[row_id]
-
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = build_index(documents, counts)
-        for pdf in it:
-            yield pd.DataFrame({"row_id": pdf["row_id"], "kind": [judge(t, index) for t in pdf["_text"]]})
-
-    slim = df.select(F.col(row_id).alias("row_id"), F.col(text).cast("string").alias("_text"))
-    return slim.mapInPandas(batches, f"row_id {kind}, kind string")
+    return df.select(F.col(row_id).alias("row_id"), _kind(df, text).alias("kind"))
 
 
-def usable(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are not residue. Needs a unique, non-null row_id."""
-    out = judged(df, row_id, text).where("kind is not null").select(F.col("row_id").alias(row_id))
-    return df.join(out, row_id, "left_anti")
+def usable(df: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that are not residue, with all their columns."""
+    return df.where(_kind(df, text).isNull())

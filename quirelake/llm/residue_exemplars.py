@@ -103,8 +103,100 @@ neuer versuch in minuten
 слишком много запросов, повторите через мин.
 """
 
+# Notices in other wordings and languages.
+ERROR += """
+oops, looks like something broke on our side
+this page isn’t working
+the page you are looking for does not exist
+the page you requested was not found on this server
+this content has been removed
+this resource is temporarily unavailable
+the server encountered an unexpected condition
+the request could not be completed
+proxy error: invalid response from upstream server
+the connection has timed out
+the server took too long to respond
+dns lookup failed
+an unexpected error has occurred
+error establishing a database connection
+you do not have permission to access this page
+you are not authorized to view this document
+your account has been suspended
+please log in to continue
+you have been logged out
+rate limit exceeded
+request blocked by the firewall
+this site can’t be reached
+under construction
+coming soon
+temporarily down for maintenance
+500 internal server error
+invalid request parameters
+stack trace
+segmentation fault (core dumped)
+syntax error, unexpected end of file
+undefined index in file on line
+cannot read properties of null
+exception in thread main
+module not found
+页面走丢了，去首页看看吧
+页面找不到了
+您要找的内容不存在或已被删除
+系统繁忙，请稍后再试
+网络连接超时
+服务器开小差了
+服务暂不可用
+无权访问该页面
+请求参数错误
+esta página no existe
+no se ha encontrado la página solicitada
+error interno del servidor
+acceso denegado
+servicio no disponible temporalmente
+a página não foi encontrada
+erro interno do servidor
+la pagina richiesta non è stata trovata
+ページが見つかりません
+お探しのページは存在しません
+アクセスが拒否されました
+サーバーエラーが発生しました
+しばらくしてから再度お試しください
+페이지를 찾을 수 없습니다
+une erreur inattendue s’est produite
+erreur interne du serveur
+la page que vous recherchez n’existe pas
+es ist ein unerwarteter fehler aufgetreten
+interner serverfehler
+die gewünschte seite existiert nicht
+произошла непредвиденная ошибка
+внутренняя ошибка сервера
+запрашиваемая страница не существует
+"""
+
 # Notices that scripts are needed.
 SCRIPT = """
+our website requires javascript to function
+turn it on and refresh
+this application needs javascript to run
+you need to enable javascript to run this app
+scripts are blocked in your browser
+this page requires cookies to be enabled
+please turn javascript on and reload the page
+your browser is out of date or not supported
+enable scripts and cookies to continue
+verifying you are human
+请先打开浏览器的脚本功能
+本网站需要启用 javascript
+当前浏览器版本过低
+por favor, active javascript en su navegador
+este sitio requiere javascript
+ative o javascript para continuar
+abilita javascript per visualizzare la pagina
+javascriptを有効にしてください
+자바스크립트를 활성화하십시오
+votre navigateur ne prend pas en charge javascript
+diese anwendung benötigt javascript
+для работы сайта необходим javascript
 please enable javascript in your browser to view this page
 kindly turn on scripts for this site before the book can be shown
 you must switch on scripting to open the reader
@@ -229,6 +321,32 @@ hier steht später etwas
 образец текста, заменить
 """
 
+FILLER += """
+lorem ipsum
+beispieltext
+beispieltext für den absatz
+your text here
+insert text here
+type your text here
+content to be added
+content coming soon
+text to follow
+foo bar baz
+qwerty qwerty
+blah blah blah
+aquí va el texto
+texto de ejemplo
+testo segnaposto
+此处为正文内容
+待补充内容
+内容待定
+正文待补
+ici votre texte
+hier steht ihr text
+рыба-текст
+пример текста
+"""
+
 # Lines of the page around it: no content of their own, and no residue either.
 AROUND = """
 back to shelf
@@ -289,34 +407,85 @@ die meldung „404 – seite nicht gefunden“ dient auf seite als beispiel
 язык javascript вводится в главе
 """
 
-# Places of templates that are still open, by their written form, and what programs leave in them.
-SLOTS = r"""
-\{\{\{?\s*[\w.]+(?:\s*\|\s*\w+)*\s*\}?\}\}
-\{%-?\s*[\w.]+[^%{}]{0,60}%\}
-<%=?\s*[\w.]+[^%<>]{0,60}%>
-[$#]\{\s*[A-Za-z_][\w.]*\s*\}
-\$\(\s*[A-Za-z_][\w.]*\s*\)
-%\([A-Za-z_]\w*\)[sd]
-(?<![A-Za-z0-9_%])%[A-Za-z_]{3,}%(?![A-Za-z0-9_%])
-\[\[\s*\w+\s*\]\]
-@@[A-Za-z_]+@@
-(?<![A-Za-z0-9_])__[A-Z][A-Z_]+__(?![A-Za-z0-9_])
-\#\#[A-Za-z_]+\#\#
-&lt;[A-Za-z_]+&gt;
-«[a-z_]{2,}»
-(?<![\\\w}])\{(?:\d+|[A-Za-z_]{2,})\}
-\[[A-Z][A-Z_]{2,}\]
-(?<![A-Za-z0-9_])\$[A-Za-z_]{2,}\$(?![A-Za-z0-9_])
-\[(?:[Ii]nsert|[Ee]nter|Your|[Ii]nsérer|вставьте|укажите|在此输入|请填写|待填|此处插入)[^\]\n]{0,60}\]
-\[[^\]\n]{1,60}(?:goes here|hier einfügen|eintragen|à compléter)\]
-<[^<>\n]{1,60}(?:goes here|hier einfügen|eintragen|à compléter)>
-<(?:[Ii]nsert|[Ee]nter|вставьте|укажите)\b[^<>\n]{0,60}>
-\((?:[Ii]nsert|[Ee]nter)\s[^()\n]{1,60}\)
-[【〔（](?:请填写|待填|此处插入|在此输入)[^】〕）\n]{0,40}[】〕）]
-\[object Object\]
-(?<![A-Za-z0-9_])undefined(?![A-Za-z0-9_])
+# Open places of templates, one for each notation. Names that say nothing stand where any name will do; names of fields and words that
+# ask for something stand where the notation alone means other things as well.
+PLACE = """
+{{ x1 }}
+{{{ x1 }}}
+{{ x1 | y1 }}
+{% x1 %}
+{% x1 y1 %}
+<%= x1 %>
+<? x1 ?>
+${ x1 }
+#{ x1 }
+$( x1 )
+%(x1)s
+%title%
+[[ x1 ]]
+[[ TITLE ]]
+[[ first name ]]
+@@X1@@
+##title##
+__TITLE__
+&lt;title&gt;
+«title»
+{0}
+{title}
+$title$
+[TITLE]
+[First Name]
+<First Name>
+[insert x1]
+<insert x1>
+(insert x1)
+[请填写]
+<请填写>
+(请填写)
+{请填写}
+【请填写】
+〔待填〕
+（此处插入）
+[object Object]
 """
 
+# Names of fields in forms and templates.
+FIELDS = """
+name first last firstname lastname title subtitle author editor translator publisher edition volume chapter section page pages number year month date day time isbn issn doi
+summary abstract description subject topic heading body content text price amount total quantity email mail address phone street city country zip company customer client user username
+product item order category keyword keywords language url link image file filename format series place location organisation organization department recipient sender signature
+titel autor verfasser verlag ausgabe auflage band kapitel seite seiten jahr datum titre auteur éditeur édition tome chapitre année nom prénom название автор издатель издание том глава год имя
+"""
+
+# Words that ask for something to be put in.
+ASK = """
+insert enter your here fill add type write complete replace tbd todo
+einfügen eintragen ausfüllen ergänzen ihr ihre insérer saisir compléter remplir votre вставьте укажите введите впишите ваш ваше
+请填写 待填 在此输入 此处插入 请输入 填入 待补 待定
+"""
+
+# What speaks for a formula or a programme rather than for an open place, where the notation means both.
+FORMULA = """
+set sets subset closure element matrix vector vectors function proof theorem equation formula fraction latex tex math variable integer modulo interval union notation prints
+menge matrix funktion formel gleichung ensemble formule équation fonction множество формула функция уравнение
+集合 公式 变量 函数 方程 矩阵 子集
+"""
+
+# What speaks about templates and programmes, in whose sentences a place is an example.
+ABOUT = """
+template templates placeholder placeholders shell macro macros syntax script compiler interpreter
+gabarit gabarits modèle vorlage vorlagen platzhalter шаблон шаблона шаблоне 模板 占位符 变量
+"""
+
+# Endings of the made-up Latin that filler is drawn from.
+LATIN_ENDINGS = "um is es us it at et em am as os or nt do ra ca ta va na la sa ro re ur ie ia id ad im"
+# Frequent words of several languages; made-up Latin has hardly any.
+FREQUENT = """
+the of and to in is was for with that this from by are on as be at it not
+der die das und von den mit ist im zu auf für eine ein nicht le la les des et du en une un est pour dans que qui par sur il
+el los las del y con por una para al lo di che non per il della e o a os um uma do da no na não
+""".split()
+
 
 def lines(text: str) -> list[str]:
     return [x for x in (line.strip() for line in text.splitlines()) if x]

@@ -34,7 +34,8 @@ def test_counts_equal_brute_force(table):
     words = residue.vocabulary()
     want = {}
     for t in texts:
-        for w in {w for p in residue.windows(t) for w in residue.tokens(p)} & words:
+        found = {w for p in residue.windows(t) for w in [*residue.tokens(p), *residue.endings(p)]} | {w for _, _, p in residue.places(t) for w in p}
+        for w in found & words:
             want[w] = want.get(w, 0) + 1
     assert n == len(texts) and all(abs(counts.get(w, 0) - want.get(w, 0)) <= 2 for w in words)
 
@@ -43,7 +44,7 @@ def test_prefix_filter_loses_nothing(table):
     n, counts = residue.count_tokens(table, "text")
     index = residue.build_index(n, counts)
     for _, t in ALL:
-        for w in residue.windows(t or ""):
+        for w in residue.windows(residue.marked(t or "", index.weight)):
             label = residue.label_window(w, index)
             if label not in (None, "around"):
                 assert index.reaches(w.casefold().replace("’", "'")), (label, w)
