@@ -21,7 +21,7 @@ from quirelake.session import cut_lineage
 BUCKET_TEXTS, MAX_BUCKETS = 20_000, 1 << 16
 #: How far the shortest and the longest texts' sources lean to the start and the end of training.
 LEAN = 0.5
-#: Most rows of the table of targets.
+#: Sources up to which the table of targets is broadcast.
 MAX_SOURCES = 10_000
 
 
@@ -30,33 +30,44 @@ def source_key(source: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(source, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), r"[\s\p{Z}_-]+", "_"))
 
 
-def sized(docs: DataFrame, row_id: str, text: str, source: str, tokenizer: str) -> DataFrame:
-    """(id, source, tokens): one row per distinct text that has tokens, under its smallest id and that row's source."""
-    slim = docs.select(
-        F.col(row_id).alias("id"), source_key(F.col(source)).alias("source"), F.md5(F.col(text).cast("binary")).alias("same"),
-        n_tokens(F.col(text).cast("string"), tokenizer).alias("tokens"),
-    ).where("tokens > 0 and source is not null")
+def wanted_sources(targets: DataFrame) -> DataFrame:
+    """(source, share, max_repeats) of each listed source with a share, spellings of a source united: shares add up, the most repeats count."""
+    return (
+        targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("bigint").alias("max_repeats"))
+        .where("source is not null and share > 0")
+        .groupBy("source")
+        .agg(F.sum("share").alias("share"), F.max(F.greatest("max_repeats", F.lit(0))).alias("max_repeats"))
+    )
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has few rows, else as it is."""
+    return F.broadcast(df) if df.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES else df
+
+
+def sized(docs: DataFrame, listed: DataFrame, row_id: str, text: str, source: str, tokenizer: str) -> DataFrame:
+    """(id, source, tokens): one row per distinct text of the listed sources that has tokens, under its smallest id and that row's source."""
+    mine = docs.select(F.col(row_id).alias("id"), source_key(F.col(source)).alias("source"), F.col(text).cast("string").alias("text"))
+    mine = mine.join(small(listed.select("source")), "source", "left_semi")
+    slim = mine.select("id", "source", F.md5(F.col("text").cast("binary")).alias("same"), n_tokens(F.col("text"), tokenizer).alias("tokens")).where("tokens > 0")
     return slim.groupBy("same").agg(F.min(F.struct("id", "source", "tokens")).alias("first")).select("first.*")
 
 
-def plan(docs: DataFrame, targets: DataFrame, total_tokens: int | None) -> DataFrame:
+def plan(docs: DataFrame, wanted: DataFrame, total_tokens: int | str | None) -> DataFrame:
     """(source, share, max_repeats, tokens, texts, demand, supply, use, tilt) of each listed source; as many rows as targets.
 
     demand = share * total; supply = tokens * max_repeats; use = the smaller one. The total is `total_tokens`, by default the
-    largest one at which every source that has texts reaches its share; beyond it small sources fall short.
+    largest one at which every source that has texts reaches its share; beyond it small sources fall short. "all" stands for the tokens of
+    all texts of listed sources, each counted once.
     """
-    wanted = (
-        targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("bigint").alias("max_repeats"))
-        .where("source is not null and share > 0")
-        .groupBy("source")
-        .agg(F.sum("share").alias("share"), F.max(F.greatest("max_repeats", F.lit(0))).alias("max_repeats"))
-        .limit(MAX_SOURCES)
-    )
     have = docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("texts"))
-    out = F.broadcast(wanted).join(have, "source", "left").fillna(0, ["tokens", "texts", "max_repeats"])
-    every = Window.partitionBy(F.lit(1))  # over the sources, at most MAX_SOURCES rows
+    out = wanted.join(have, "source", "left").fillna(0, ["tokens", "texts", "max_repeats"])
+    every = Window.partitionBy(F.lit(1))  # over the sources
     most = F.when(F.col("tokens") * F.col("max_repeats") > 0, F.col("tokens") * F.col("max_repeats") / F.col("share"))
-    total = F.lit(total_tokens).cast("double") if total_tokens is not None else F.coalesce(F.min(most).over(every), F.lit(0.0))
+    if total_tokens == "all":
+        total = F.sum("tokens").over(every).cast("double")
+    else:
+        total = F.lit(total_tokens).cast("double") if total_tokens is not None else F.coalesce(F.min(most).over(every), F.lit(0.0))
     rank = F.percent_rank().over(every.orderBy(F.col("tokens") / F.greatest("texts", F.lit(1)), "source"))
     lean = LEAN * (2 * rank - 1)
     out = out.withColumn("total", total).withColumn("lean", lean)
@@ -79,7 +90,7 @@ def mix(
     row_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    total_tokens: int | None = None,
+    total_tokens: int | str | None = None,
     tokenizer: str = TOKENIZER,
 ) -> tuple[DataFrame, DataFrame]:
     """(uses, plan). uses: (row_id, source, tokens, pass, position), sorted by range of position, a row per use of a text.
@@ -90,13 +101,14 @@ def mix(
     tokens aren't used. The same text under several ids counts once, under the smallest id. Ties in the hash order are
     broken by the id. An empty table gives no uses.
     """
-    ready = cut_lineage(sized(docs, row_id, text, source, tokenizer))
+    wanted = wanted_sources(targets)
+    ready = cut_lineage(sized(docs, wanted, row_id, text, source, tokenizer))
     n = ready.count()
-    per_source = plan(ready, targets, total_tokens)
+    per_source = plan(ready, wanted, total_tokens)
     buckets = min(MAX_BUCKETS, max(16, 1 << (n // BUCKET_TEXTS).bit_length()))
     order = F.xxhash64(F.lit("mix"), F.col("id"))
     bucket = F.pmod(F.shiftrightunsigned(order, 40), F.lit(buckets)).cast("int")
-    placed = ready.join(F.broadcast(per_source.select("source", "use", "tilt", F.col("tokens").alias("all"), "max_repeats")), "source").withColumn("b", bucket)
+    placed = ready.join(small(per_source.select("source", "use", "tilt", F.col("tokens").alias("all"), "max_repeats")), "source").withColumn("b", bucket)
     # running sums: over the buckets of a source (a table of sources x buckets), then within a bucket
     sums = placed.groupBy("source", "b").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)

@@ -54,6 +54,11 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(*mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")))
 
 
+def p7_shares_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares when as many tokens are asked for as all listed texts have: large sources are cut, small ones repeated up to their cap and short."""
+    return mixing.shares(*mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), total_tokens="all"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.judged(table(spark, sf, "documents")).where("kind is not null").select(F.col("row_id").alias("doc_id"))
 
@@ -68,7 +73,7 @@ def p8_usable(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p3_found, p3_rows, p3_lines, p4_found, p4_restored, p6_packed, p6_room, p7_positions, p7_uses, p7_shares, p8_found, p8_kinds, p8_usable)
+    for f in (p3_found, p3_rows, p3_lines, p4_found, p4_restored, p6_packed, p6_room, p7_positions, p7_uses, p7_shares, p7_shares_of_all, p8_found, p8_kinds, p8_usable)
 }
 
 #: No SQL: normalization forms, encodings, tokenizers and packing can't be written in it; tests/llm compares with brute force.

@@ -115,3 +115,28 @@ def test_found_queries_run(spark):
 
     for name in ("p3_found", "p4_found", "p8_found"):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_text_shared_with_an_unlisted_source(spark):
+    df = spark.createDataFrame([(1, "the same words", "elsewhere"), (2, "the same words", "big"), (3, "other words here", "big"), (4, "x y", None)], "doc_id long, text string, source string")
+    uses, _ = mixing.mix(df, spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int"))
+    assert sorted(r["doc_id"] for r in uses.collect()) == [2, 3]
+
+
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 5)
+    df = spark.createDataFrame([(i, f"text number {i}", f"s{i}") for i in range(40)], "doc_id long, text string, source string")
+    targets_ = spark.createDataFrame([(f"s{i}", 1 / 40, 2) for i in range(40)], "source string, target_share double, max_repeats int")
+    uses, plan = mixing.mix(df, targets_)
+    assert len({r["source"] for r in uses.collect()}) == 40 == len(mixing.shares(uses, plan).collect())
+    every = mixing.shares(*mixing.mix(df, targets_, total_tokens="all")).collect()
+    assert sum(r["tokens_used"] for r in every) == sum(r["tokens"] for r in plan.collect())
+
+
+def test_several_shards_against_one():
+    """What shards cost: each leaves open containers of its own."""
+    rnd = np.random.default_rng(4)
+    sizes, cap = rnd.integers(1, 400, 6000), 512
+    least = -(-int(sizes.sum()) // cap)
+    boxes = [sum(len(set(packing.sum_of_squares(part, cap))) for part in np.array_split(sizes, k)) for k in (1, 4, 12)]
+    assert boxes[0] <= 1.01 * least and boxes[1] <= 1.03 * least and boxes[2] <= 1.03 * least, (least, boxes)
