@@ -57,3 +57,23 @@ def test_quick_check_on_any_text(text):
         marks = any(unicodedata.category(c)[0] == "M" for c in text)
         scripts = {charform._script(c) for c in text} & set("LCG")
         assert marks or quick.search(text) or len(scripts) > 1 or "C" in scripts or "G" in scripts
+
+
+def test_every_pair_that_has_a_joined_form():
+    for o in range(0x80, 0x32000):
+        ch = chr(o)
+        to = unicodedata.decomposition(ch) if not 0xD800 <= o < 0xE000 else ""
+        if to and to[0] != "<":
+            pair, composed = "".join(chr(int(x, 16)) for x in to.split()), unicodedata.normalize("NFC", ch)
+            forms = {charform.canonical(x) for x in (pair, ch, composed, unicodedata.normalize("NFD", ch))}
+            assert len(forms) == 1 and all(unicodedata.normalize("NFC", x) == x for x in forms), hex(o)
+    assert charform.canonical("한글") == "한글"
+
+
+@pytest.mark.parametrize(
+    ("text", "form"),
+    [("ｶﾞｲﾄﾞ", "ガイド"), ("क़", "क़"), ("क़", "क़"), ("آ", "آ"), ("ো", "ো"), ("Кοэффициент", "Коэффициент"), ("Ꭺbstract", "Abstract"), ("Cοntents օf", "Contents of"), ("Cataloɡue", "Catalogue"),
+     ("می‌خواهم", "می‌خواهم"), ("👩‍🔬 ❤️", "👩‍🔬 ❤️"), ("a‍b️", "ab"), ("KK Å", "KK Å"), ("օրենք Մաս", "օրենք Մաս"), ("ᎠᏂᏴᏫᏯ", "ᎠᏂᏴᏫᏯ"), ("q̣̇", "q̣̇")],
+)
+def test_scripts_beyond_the_common_ones(text, form):
+    assert charform.canonical(text) == form and charform.canonical(form) == form
