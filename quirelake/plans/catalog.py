@@ -107,7 +107,17 @@ def changed_since(spark, sf):
     return log.join(same.select("log_id"), "log_id", "left_anti").select("log_id", "source")
 
 
-@query()
+_LISTED = "case json_type(e) when 'OBJECT' then 1 when 'ARRAY' then json_array_length(e) else 0 end"
+
+
+@query(
+    "with d as (select log_id, payload::json as d from report_log where json_valid(payload)), "
+    "e as (select *, case when json_type(d, '$.entries') = 'VARCHAR' then case when json_valid(json_extract_string(d, '$.entries')) then json_extract_string(d, '$.entries')::json end else json_extract(d, '$.entries') end as e from d) "
+    "select log_id, json_extract_string(d, '$.source') as source, json_extract_string(d, '$.status') as status, try_cast(json_extract_string(d, '$.page_count') as bigint) as page_count, "
+    "case when json_type(d, '$.toc_pages') = 'ARRAY' then array_to_string(list_filter(json_extract_string(d, '$.toc_pages[*]'), lambda x: x is not null), ',') end as toc_pages, "
+    f"coalesce({_LISTED}, 0)::bigint as entry_count, case when json_type(d, '$.warnings') = 'ARRAY' then array_to_string(list_filter(json_extract_string(d, '$.warnings[*]'), lambda x: x is not null), '; ') end as warnings, "
+    "try_cast(json_extract_string(d, '$.offsets.arabic') as bigint) as arabic_offset, json_extract_string(d, '$.error') as error from e"
+)
 def report_summary(spark, sf):
     return reports.flat_summary(table(spark, sf, "report_log"))
 
@@ -228,12 +238,29 @@ def _fitted(spark, sf):
     return offsets.fit(offsets.row_anchors(table(spark, sf, "toc_rows")), _labels(spark, sf))
 
 
-@query()
+# The votes alone: where one offset has three votes and more than any other, and no other one has two on pages of its own.
+_FIT = (
+    f"v as (select book, numbering, offset_, count(distinct pdf_page) as votes, row_number() over (partition by book, numbering order by count(distinct pdf_page) desc, offset_) as rank from ({_ANCHORS}) group by 1, 2, 3), "
+    "b as (select book, numbering, max(offset_) filter (rank = 1) as best, max(votes) filter (rank = 1) as first, coalesce(max(votes) filter (rank = 2), 0) as second from v group by 1, 2), "
+    "t as (select b.book, b.numbering, case when first >= 3 and first > second then best end as off, first from b), "
+    f"p as (select distinct book, numbering, offset_, pdf_page from ({_ANCHORS})), bp as (select p.book, p.numbering, min(pdf_page) as lo, max(pdf_page) as hi from p join t on p.book = t.book and p.numbering = t.numbering and offset_ = off group by 1, 2), "
+    "r as (select p.* from p join t on p.book = t.book and p.numbering = t.numbering and offset_ <> off where not exists (select 1 from p q where q.book = p.book and q.numbering = p.numbering and q.pdf_page = p.pdf_page and q.offset_ = off)), "
+    "o as (select book, numbering, offset_, min(pdf_page) as lo, max(pdf_page) as hi, row_number() over (partition by book, numbering order by count(*) desc, offset_) as rank from r group by 1, 2, 3)"
+)
+
+
+@query(
+    f"with {_FIT} select t.book, t.numbering, off as \"offset\", case when off is null then '[]' else '[{{\"offset\":' || off || ',\"from_printed\":1,\"votes\":' || first || '}}]' end as segments, "
+    "case when off is null then 'conflict' when o.lo > bp.hi or o.hi < bp.lo then 'edge' end as warning from t left join bp on bp.book = t.book and bp.numbering = t.numbering left join o on o.book = t.book and o.numbering = t.numbering and o.rank = 1"
+)
 def offset_fit(spark, sf):
     return _fitted(spark, sf).select("book", "numbering", "offset", F.to_json("segments").alias("segments"), "warning")
 
 
-@query()
+@query(
+    f"with {_FIT}, m as (select r.book, toc_id, seq, printed_page, printed_page + off as target, page_count from toc_rows r left join t on t.book = r.book and t.numbering = r.numbering left join previews on path = r.book) "
+    "select book, toc_id, seq, printed_page, target, case when target is null then 'no_offset' when target < 1 or target > page_count then 'outside' else 'mapped' end as status from m"
+)
 def offset_mapped_rows(spark, sf):
     return offsets.map_rows(table(spark, sf, "toc_rows"), _fitted(spark, sf), table(spark, sf, "previews"))
 
@@ -278,7 +305,23 @@ def collected_fit(spark, sf):
     return offsets.fit(_collected(spark, sf), _labels(spark, sf)).select("book", "numbering", "offset", F.to_json("segments").alias("segments"), "warning")
 
 
-@query()
+# Full-width digits and spaces in their ordinary form, which is all that titles of digits need.
+_NUMERIC = "trim(translate(title, '０１２３４５６７８９　\u00a0', '0123456789  '))"
+
+
+@query(
+    f"with c as (select distinct book, source_page as page from toc_rows where source_page is not null), r as (select o.book, seq, node_id, page_number as page, page_count, c.page is not null as toc, case when regexp_full_match({_NUMERIC}, '[1-9][0-9]{{0,4}}') then {_NUMERIC}::int end as printed "
+    "from outline o left join previews on path = o.book left join c on c.book = o.book and c.page = o.page_number), "
+    "s as (select *, lag(printed) over w as lp, lag(page) over w as lg from r where printed is not null window w as (partition by book order by seq nulls first, node_id)), "
+    "b as (select book, count(*) filter (printed <= lp or page <= lg) as back_steps from s group by 1), "
+    "v as (select book, page - printed as off, count(*) as n, max(page) - min(page) + 1 as span, row_number() over (partition by book order by count(*) desc, page - printed) as rank from s where page is not null group by 1, 2), "
+    "k as (select s.book, s.printed, s.page, row_number() over w as i, lag(s.printed) over w as lp, lag(s.page) over w as lg from s join v on v.book = s.book and rank = 1 and page - printed = off window w as (partition by s.book order by seq nulls first, node_id)), "
+    "i as (select book, sum(case when printed = lp + 1 and page = lg + 1 then 0 else 1 end) over (partition by book order by i rows unbounded preceding) as run from k), l as (select book, max(n) as longest from (select book, run, count(*) as n from i group by 1, 2) group by 1), "
+    "w as (select book, count(*) as rows, max(page_count) as n, count(printed) as numbers, count(*) filter (printed is not null and not coalesce(page between 1 and page_count, false)) as lost, count(*) filter (printed is not null and toc) as on_contents from r group by 1) "
+    "select w.book, w.rows, numbers, lost, on_contents, coalesce(back_steps, 0) as back_steps, v.off as \"offset\", v.n as support, v.span, longest, "
+    "coalesce(lost = 0 and numbers >= greatest(12, ceil(w.n / 10.0)) and numbers * 10 >= w.rows * 7 and back_steps = 0 and on_contents = 0 and v.n * 20 >= numbers * 19 and v.span >= greatest(12, (w.n + 4) // 5) and longest >= greatest(10, v.n // 4) and exists (select 1 from c where c.book = w.book), false) as accepted "
+    "from w left join b on b.book = w.book left join v on v.book = w.book and v.rank = 1 left join l on l.book = w.book"
+)
 def outline_gates(spark, sf):
     return offsets.outline_gates(table(spark, sf, "outline"), _counts(spark, sf), _contents(table(spark, sf, "toc_rows")))
 
@@ -305,13 +348,44 @@ def body_sample_pages(spark, sf):
     return offsets.body_sample(toc.join(table(spark, sf, "previews").select(F.col("path").alias("book"), "page_count"), "book"))
 
 
-@query()
+# Labels as a whole line or as an outer word; full-width forms are the only ones that matter to numbers here.
+_WIDE, _PLAIN = "".join(chr(0xFEE0 + i) for i in range(0x21, 0x7F)) + "\u3000\u00a0", "".join(chr(i) for i in range(0x21, 0x7F)) + "  "
+
+
+def _label_sql(text: str) -> str:
+    t = f"translate({text}, '{_WIDE}', '{_PLAIN.replace(chr(39), chr(39) * 2)}')"
+    digits, roman = f"regexp_extract({t}, '^[\\s\\[(—–-]*([0-9]{{1,4}})[\\s\\])—–-]*$', 1)", f"lower(regexp_extract({t}, '^[\\s\\[(—–-]*([ivxlcdmIVXLCDM]{{1,8}})[\\s\\])—–-]*$', 1))"
+    value = "list_transform(string_split(%s, ''), lambda c: case c when 'i' then 1 when 'v' then 5 when 'x' then 10 when 'l' then 50 when 'c' then 100 when 'd' then 500 else 1000 end)" % roman
+    read = f"list_sum(list_transform({value}, lambda v, i: case when v < coalesce(list_max(list_slice({value}, i + 1, 99)), 0) then -v else v end))"
+    return f"case when {digits} <> '' then case when {digits}::int > 0 then 'arabic:' || {digits}::int end when {roman} <> '' then 'roman:' || {read}::int end"
+
+
+def _labels_of(lines: str, name: str = "lab") -> str:
+    return _LABELS.replace("from page_lines", f"from {lines}").replace("lab as (", f"{name} as (").replace("e as (select book, page_number", f"{name}_e as (select book, page_number").replace("from e)", f"from {name}_e)").replace("w as (select *, regexp", f"{name}_w as (select *, regexp").replace("from w)", f"from {name}_w)").replace("g as (select *, ", f"{name}_g as (select *, ").replace("from g)", f"from {name}_g)").replace("u as (select", f"{name}_u as (select").replace("from u ", f"from {name}_u ")
+
+
+_LABELS = (
+    f"e as (select book, page_number as page, trim(text, ' ') as text, x, right_edge as e from page_lines where not (y > {0.16 * HEIGHT}::double and bottom < {0.84 * HEIGHT}::double) and trim(text, ' ') <> ''), "
+    "w as (select *, regexp_extract(text, '^([^\\s\u3000\u00a0]*)', 1) as a, regexp_extract(text, '([^\\s\u3000\u00a0]*)$', 1) as b from e), "
+    f"g as (select *, {_label_sql('text')} as whole, case when x < {0.2 * WIDTH}::double or x > {0.78 * WIDTH}::double then {_label_sql('a')} end as first_, "
+    f"case when e - (e - x) * length(b) / length(text) < {0.2 * WIDTH}::double or e - (e - x) * length(b) / length(text) > {0.78 * WIDTH}::double then {_label_sql('b')} end as last_ from w), "
+    "u as (select book, page, unnest(case when whole is not null then [whole] else [first_, last_] end) as l from g), "
+    "lab as (select distinct book, page, string_split(l, ':')[1] as numbering, string_split(l, ':')[2]::int as value from u where l is not null)"
+)
+
+
+@query(
+    f"with {_LABELS}, c as (select book, pdf_page, printed_page, exists (select 1 from lab where lab.book = a.book and lab.page = a.pdf_page and numbering = 'arabic' and value = printed_page) as ok, "
+    "exists (select 1 from lab where lab.book = a.book and lab.page = a.pdf_page and not (numbering = 'arabic' and value = printed_page)) as other from (select * from toc_rows where numbering = 'arabic' and pdf_page is not null and printed_page is not null) a), "
+    "s as (select book, count(*) filter (ok) as confirmed, count(*) filter (other) as contradicted, max(pdf_page) filter (ok) - min(pdf_page) filter (ok) as spread, max(pdf_page) - min(pdf_page) as whole from c group by 1) "
+    "select book, confirmed, contradicted, spread, coalesce(contradicted = 0 and confirmed >= 3 and spread >= greatest(5, whole // 2), false) as verified from s"
+)
 def anchors_verified(spark, sf):
     rows = offsets.row_anchors(table(spark, sf, "toc_rows")).where("numbering = 'arabic'").select("book", "pdf_page", "printed_page")
     return offsets.verify(rows, _labels(spark, sf))
 
 
-@query()
+@query(f"with {_LABELS} select book, page, numbering, value from lab")
 def edge_page_labels(spark, sf):
     return layout.edge_labels(table(spark, sf, "page_lines"), HEIGHT, WIDTH)
 
@@ -373,7 +447,14 @@ def _label_batches(lines: DataFrame, shift: int) -> DataFrame:
     return batches.select("book", "pages", "labels")
 
 
-@query()
+@query(
+    "with early as (select * from (select *, min(loaded_at) over (partition by book, page_number) as first_at from page_lines) where coalesce(loaded_at <= first_at + interval 1 day, true)), "
+    f"{_labels_of('early', 'one')}, {_labels_of('page_lines', 'two')}, covered as (select distinct book, page_number as page from page_lines), "
+    "told as (select c.book, c.page, (select list(numbering || ':' || value order by numbering, value) from one where one.book = c.book and one.page = c.page) as a, (select list(numbering || ':' || value order by numbering, value) from two where two.book = c.book and two.page = c.page) as b from covered c), "
+    "needed as (select distinct book, pdf_page as page from toc_rows where pdf_page is not null), "
+    "s as (select n.book, n.page, case when t.book is null then 'missing' when a is distinct from b then 'conflict' when a is null then 'empty' else 'known' end as state, a from needed n left join told t on t.book = n.book and t.page = n.page), "
+    "x as (select book, page, state, unnest(case when state = 'known' then a else [null] end) as l from s) select book, page, state, string_split(l, ':')[1] as numbering, string_split(l, ':')[2]::int as value from x"
+)
 def label_reuse(spark, sf):
     """Which labels of the pages that contents rows point to are known from batches of four pages that were read before.
 

@@ -121,13 +121,38 @@ select 'report_log' as src_table, log_id as row_id, 'entries[' || i || ']' as it
 union all select 'report_log', log_id, m, '' from (select log_id, m, v as x from member where m <> 'entries') where {_FULL}
 union all select 'previews', row_id, item_path, parent_path from node where {_FULL}
 """
-_NAMED = " ".join(f"when name in ({', '.join(repr(n) for n in r.names)}) then '{r.field}'" for r in drift.RENAMES)
+_TREE = _P1[: _P1.index("select 'report_log' as src_table")]
+_KEYS = "row_id, path, parent_path, ordinal, depth"
+
+
+def _cells(columns: dict[str, str]) -> str:
+    """A value of another kind than asked for is null."""
+    as_sql = {"string": "varchar", "int": "int", "bigint": "bigint", "double": "double", "boolean": "boolean"}
+    return ", ".join(f"try_cast(json_extract_string(x, '$.{c}') as {as_sql[t]}) as {c}" for c, t in columns.items())
+
+
+_TABLES = {
+    "p1_entries": f"{_TREE} select log_id as row_id, 'entries[' || i || ']' as path, '' as parent_path, i as ordinal, 1 as depth, {_cells(REPORT_COLUMNS['entries'])} from entry where {_FULL}",
+    **{
+        name: f"{_TREE} select log_id as row_id, m as path, '' as parent_path, 1::bigint as ordinal, 1 as depth, {_cells(REPORT_COLUMNS[m])} from (select log_id, m, v as x from member where m = '{m}') where {_FULL}"
+        for name, m in (("p1_checks", "existing_outline_check"), ("p1_usages", "api_usage"))
+    },
+    "p1_nodes": f"{_TREE} select row_id, item_path as path, parent_path, regexp_extract(item_path, '\\[(\\d+)\\]$', 1)::bigint as ordinal, len(item_path) - len(replace(item_path, '[', '')) as depth, "
+    f"{_cells({'title': 'string', 'page_number': 'int'})} from node where {_FULL}",
+}
+# The names are written out here, apart from the operator's own table.
+_NAMED = """
+when name in ('toc_bookmark', 'tocBookmark', 'TocBookmark', 'toc-bookmark', 'toc_mark', 'bookmark_to_toc', 'contents_bookmark') then 'toc_bookmark'
+when name in ('review_acceptable', 'reviewAcceptable', 'review-acceptable', 'acceptable', 'acceptable_after_review', 'can_be_accepted', 'review_ok') then 'review_acceptable'
+when name in ('toc_corrections', 'tocCorrections', 'toc-corrections', 'toc_corr', 'toc_fixes', 'corrections', 'corrections_made') then 'toc_corrections'
+"""
 _P2 = f"""
 with doc as (select job_id, file_no, payload::json as d from report_log where json_valid(payload) and json_type(payload) = 'OBJECT' and job_id is not null and file_no is not null),
 names as (select job_id, file_no, d, unnest(json_keys(d)) as name from doc),
 held as (select distinct job_id, file_no, case {_NAMED} end as field_name, name, case json_type(d, '$."' || name || '"') when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then null else 'number' end as kind from names),
 fields as (select * from held where field_name is not null and kind is not null),
 files as (select distinct job_id, file_no from report_log where job_id is not null and file_no is not null),
+spare as (select 1),
 pairs as (select f.job_id, f.file_no, t.field_name, o.name as old_name, o.kind as old_kind, n.name as new_name, n.kind as new_kind from files f join files g on g.job_id = f.job_id and g.file_no = f.file_no - 1
   cross join (values ('toc_bookmark'), ('review_acceptable'), ('toc_corrections')) as t(field_name)
   left join fields o on o.job_id = g.job_id and o.file_no = g.file_no and o.field_name = t.field_name left join fields n on n.job_id = f.job_id and n.file_no = f.file_no and n.field_name = t.field_name)
@@ -137,8 +162,17 @@ union all select job_id, file_no::bigint, field_name, 'renamed' from pairs where
 union all select job_id, file_no::bigint, field_name, 'retyped' from pairs where old_kind <> new_kind
 """
 
+_VERSIONS = (
+    _P2[: _P2.index("spare as (select 1)")]
+    + """shape as (select f.job_id, f.file_no, string_agg(field_name || ':' || name || ':' || kind, ';' order by field_name) as text,
+  string_agg('"' || field_name || '":{"name":"' || name || '","kind":"' || kind || '"}', ',' order by field_name) as inner_ from files f left join fields using (job_id, file_no) group by 1, 2)
+select sha256(coalesce(text, '')) as fingerprint, count(*) as files, '{' || coalesce(inner_, '') || '}' as held from shape group by 1, 3"""
+)
+
 SQL: dict[str, str] = {
     "p1_found": _P1,
+    **_TABLES,
+    "p2_versions": _VERSIONS,
     "p2_found": _P2,
     "p5_found": f"select log_id from ({_RANKED}) where message_key is not null and rn > 1",
     "p5_messages": _ONE,
