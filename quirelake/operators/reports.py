@@ -40,6 +40,30 @@ def usage_totals(df: DataFrame, payload: str = "payload", group: str = "job_id")
     return rows.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.count("u").alias("with_usage"), *[counted(n) for n in USAGE]).withColumnRenamed("g", group)
 
 
+def accepted_usage(df: DataFrame, payload: str = "payload", group: str = "job_id") -> DataFrame:
+    """(group, reported, unreported, prompt_tokens, completion_tokens, total_tokens): usage records that hold together.
+
+    A record counts as reported if its three token counts are whole numbers of 0 and more and the first two make up the third; any other
+    readable record, one without usage included, is unreported. Unreadable payloads are neither.
+    """
+    doc = whole_json(F.col(payload).cast("string"))
+    rows = df.select(F.col(group).alias("g"), doc.alias("d")).where("d is not null")
+    part = lambda name: F.try_variant_get("d", f"$.api_usage.{name}", "variant")
+    whole = lambda name: F.when(F.schema_of_variant(part(name)) == "BIGINT", F.try_variant_get(part(name), "$", "bigint"))
+    rows = rows.select("g", *[whole(n).alias(n) for n in USAGE[:3]])
+    fits = F.coalesce((F.least(*USAGE[:2]) >= 0) & (F.col("prompt_tokens") + F.col("completion_tokens") == F.col("total_tokens")), F.lit(False))
+    fits = fits & F.col("prompt_tokens").isNotNull() & F.col("completion_tokens").isNotNull()
+    some = lambda n: F.coalesce(F.sum(F.when(fits, F.col(n))), F.lit(0)).alias(n)
+    return rows.groupBy("g").agg(F.count_if(fits).alias("reported"), F.count_if(~fits).alias("unreported"), *[some(n) for n in USAGE[:3]]).withColumnRenamed("g", group)
+
+
+def usage_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, *USAGE): what was used between two readings of the counters, never less than 0. A key that is missing before counts from 0."""
+    old = before.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in USAGE])
+    both = after.join(old, after[key].eqNullSafe(old["_k"]), "left")
+    return both.select(after[key], *[F.greatest(F.coalesce(after[c], F.lit(0)) - F.coalesce(F.col(f"_{c}"), F.lit(0)), F.lit(0)).cast("bigint").alias(c) for c in USAGE])
+
+
 def merge_lines(old: DataFrame, new: DataFrame) -> DataFrame:
     """Lines of both as multisets: what `old` has beyond `new`, and all of `new`. Doing it again with the result changes nothing."""
     return old.exceptAll(new).unionAll(new)

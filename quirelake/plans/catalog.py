@@ -65,6 +65,18 @@ def report_usage_totals(spark, sf):
     return reports.usage_totals(table(spark, sf, "report_log"))
 
 
+_WHOLE = lambda c: f"case when json_type(d, '$.api_usage.{c}') in ('UBIGINT', 'BIGINT') then json_extract_string(d, '$.api_usage.{c}')::bigint end as {c}"
+
+
+@query(
+    f"with r as (select job_id, payload::json as d from report_log where json_valid(payload)), u as (select job_id, {', '.join(_WHOLE(c) for c in reports.USAGE[:3])} from r), "
+    "o as (select *, coalesce(prompt_tokens >= 0 and completion_tokens >= 0 and prompt_tokens + completion_tokens = total_tokens, false) as ok from u) "
+    "select job_id, count(*) filter (ok) as reported, count(*) filter (not ok) as unreported, " + ", ".join(f"coalesce(sum({c}) filter (ok), 0)::bigint as {c}" for c in reports.USAGE[:3]) + " from o group by 1"
+)
+def report_usage_accepted(spark, sf):
+    return reports.accepted_usage(table(spark, sf, "report_log"))
+
+
 _LEGACY, _NOW = f"(batch_id is null or batch_id < {CURRENT})", f"batch_id >= {CURRENT}"
 
 

@@ -31,12 +31,14 @@ def looks_like_pdf(content: Column) -> Column:
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """(seq, source, doc): the rows of JSON-lines report files with a non-empty text as source; other lines are skipped.
 
-    seq orders the lines of one file: the file is read as a whole and cut at line ends.
+    seq struct<start, row> orders the lines of one file: where their split of the file starts, and the row in it. Files are read by
+    line, in splits, so a file may have any size.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "line"))
+    at = F.struct(F.expr("input_file_block_start()").alias("start"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(at.alias("seq"), F.col("value").alias("line"))
     doc = whole_json(F.col("line"))
     kind = F.schema_of_variant(F.try_variant_get("doc", "$.source", "variant"))
-    rows = lines.select(F.col("seq").cast("bigint").alias("seq"), doc.alias("doc")).where((kind == "STRING"))
+    rows = lines.select("seq", doc.alias("doc")).where(kind == "STRING")
     return rows.select("seq", F.try_variant_get("doc", "$.source", "string").alias("source"), "doc").where("source != ''")
 
 

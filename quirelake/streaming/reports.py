@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +56,12 @@ def status_counts(state: DataFrame) -> DataFrame:
     return reports.status_counts(state)
 
 
+#: Bytes before the offset by which a rewritten file is recognised.
+MARK = 128
+
+
 class Tail:
-    """Complete lines appended to a text file since the last call, for one small file on the driver.
+    """Complete lines appended to a text file since the last call, for one file on the driver; only what is new is read.
 
     Starts at the end of the file; a line that is not complete yet is kept back, the rest of one that began before the start is
     skipped. A file that was replaced, shortened or rewritten is read again from its beginning; `was_reset` then is true.
@@ -65,34 +71,39 @@ class Tail:
         self.path, self.offset, self.rest, self.mark, self.known, self.was_reset = path, 0, b"", b"", None, False
         self.skip = False
         if not whole:
-            data, stat = self._read()
-            if data is not None:
-                self.offset, self.known, self.mark = len(data), stat, data[-128:]
+            size, stat = self._look()
+            if stat is not None:
+                data = self._from(max(0, size - MARK))
+                self.offset, self.known, self.mark = size, stat, data
                 self.skip = bool(data) and not data.endswith(b"\n")
 
-    def _read(self):
-        import os
-
+    def _look(self) -> tuple[int, tuple[int, int] | None]:
         try:
-            with open(self.path, "rb") as f:
-                s = os.fstat(f.fileno())
-                return f.read(), (s.st_dev, s.st_ino)
+            s = os.stat(self.path)
+            return s.st_size, (s.st_dev, s.st_ino)
         except FileNotFoundError:
-            return None, None
+            return 0, None
+
+    def _from(self, start: int) -> bytes:
+        with open(self.path, "rb") as f:
+            f.seek(start)
+            return f.read()
 
     def lines(self) -> list[str]:
-        data, stat = self._read()
+        size, stat = self._look()
         self.was_reset = False
-        if data is None:
+        if stat is None:
             self.was_reset = self.known is not None
             self.offset, self.rest, self.mark, self.known, self.skip = 0, b"", b"", None, False
             return []
-        rewritten = data[max(0, self.offset - len(self.mark)) : self.offset] != self.mark
-        if self.known is not None and (stat != self.known or len(data) < self.offset or rewritten):
-            self.offset, self.rest, self.skip, self.was_reset = 0, b"", False, True
-        fresh = self.rest + data[self.offset :]
-        self.offset, self.known, self.mark = len(data), stat, data[-128:]
-        *done, self.rest = fresh.split(b"\n")
+        # what was read last, and what came behind it
+        data = self._from(self.offset - len(self.mark)) if size >= self.offset else b""
+        if self.known is not None and (stat != self.known or size < self.offset or not data.startswith(self.mark)):
+            self.offset, self.rest, self.mark, self.skip, self.was_reset = 0, b"", b"", False, True
+            data = self._from(0)
+        new = data[len(self.mark) :]
+        self.offset, self.known, self.mark = self.offset + len(new), stat, data[-MARK:]
+        *done, self.rest = (self.rest + new).split(b"\n")
         if self.skip and done:
             done, self.skip = done[1:], False
         elif self.skip:

@@ -114,6 +114,16 @@ def test_usage(spark):
     assert (r["rows"], r["with_usage"], r["prompt_tokens"], r["completion_tokens"], r["total_tokens"], r["reported_responses"]) == (7, 3, 4, 4, 4, 6)
 
 
+def test_accepted_usage(spark):
+    use = lambda *v: json.dumps({"api_usage": dict(zip(reports.USAGE, v))})
+    data = [("j", use(1, 2, 3)), ("j", use(1, 2, 4)), ("j", use(True, 2, 3)), ("j", use(-1, 2, 1)), ("j", use(1.5, 2, 3.5)), ("j", use(5, 0, 5)), ("j", "{}"), ("j", "bad"), ("j", None), (None, use(1, None, 1))]
+    got = {r["job_id"]: tuple(r)[1:] for r in reports.accepted_usage(spark.createDataFrame(data, "job_id string, payload string")).collect()}
+    assert got == {"j": (2, 5, 6, 2, 8), None: (0, 1, 0, 0, 0)}
+    shape = "source string, " + ", ".join(f"{c} long" for c in reports.USAGE)
+    before, after = spark.createDataFrame([("a", 5, 1, 6, 1, 0)], shape), spark.createDataFrame([("a", 8, 0, 9, 2, 0), ("b", 1, None, 1, 1, 0)], shape)
+    assert sorted(map(tuple, reports.usage_delta(before, after, "source").collect())) == [("a", 3, 0, 3, 1, 0), ("b", 1, 0, 1, 1, 0)]
+
+
 def test_words_to_lines(spark):
     words = [("b", 1, t, x, y, 10.0 * len(t), 10.0) for t, x, y in (("World", 80.0, 51.0), ("Hello", 20.0, 50.0), ("Next", 20.0, 80.0), ("9", 300.0, 81.0))]
     schema = "book string, page int, text string, x double, y double, width double, height double"

@@ -22,7 +22,7 @@ def test_listing(spark, tmp_path):
 def test_report_lines_and_summary(spark, tmp_path):
     p = tmp_path / "r.jsonl"
     p.write_bytes(b"not json\n[]\n" + json.dumps({"source": "a", "n": 1}).encode() + b'\n{"source": 5}\n{"source": ""}\n\xff\n' + json.dumps({"source": "a", "n": 2}).encode() + b"\n")
-    rows = files.read_report(spark, str(p)).select("seq", "source").orderBy("seq").collect()
+    rows = files.read_report(spark, str(p)).orderBy("seq").selectExpr("seq.row as seq", "source").collect()
     assert [(r["seq"], r["source"]) for r in rows] == [(2, "a"), (6, "a")]
     df = spark.createDataFrame([("a", "目"), ("b", None)], "source string, t string")
     files.write_summary(df, str(tmp_path / "s"))
@@ -44,3 +44,16 @@ def test_entry_and_names(spark):
     assert e.entry(spark).count() > 0
     names, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(names) and {"p1_found", "p2_found", "p5_found"} <= set(names)
+
+
+def test_report_in_several_splits(spark, tmp_path):
+    p = tmp_path / "long.jsonl"
+    p.write_text("".join(f'{{"source": "s{i}", "n": {i}}}\n' for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = files.read_report(spark, str(p))
+        assert df.rdd.getNumPartitions() > 3
+        assert [r["source"] for r in df.orderBy("seq").collect()] == [f"s{i}" for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
