@@ -27,3 +27,12 @@ def test_title_anchors_without_broadcast(stored):
     df = offsets.title_anchors(rows, pages, stored("contents", [("b", 2)], "book string, page int"))
     assert "Broadcast" not in plan(df)
     assert sorted(map(tuple, df.collect())) == [("b", 1, 9, 3, 6), ("b", 2, 9, 5, 4)]
+
+
+def test_collected_without_broadcast(stored):
+    labels = stored("labels", [("a", "arabic", p, p - 2) for p in (3, 4, 5)] + [("b", "arabic", 3, 1)], "book string, numbering string, pdf_page int, printed_page int")
+    sample = stored("sample", [(b, p) for b in "ab" for p in (3, 4, 5)], "book string, page int")
+    titles = stored("titles", [("a", 1, 7, 5, 2), ("b", 2, 8, 5, 3)], "book string, toc_id int, pdf_page int, printed_page int, offset int")
+    df = offsets.collected(sample, labels, stored("counts", [("a", 20), ("b", 20)], "book string, page_count int"), titles)
+    assert "Broadcast" not in plan(df)
+    assert sorted(map(tuple, df.collect())) == [("a", "arabic", p, p - 2, 2, "page-label") for p in (3, 4, 5)] + [("b", "arabic", 3, 1, 2, "page-label"), ("b", "arabic", 8, 5, 3, "chapter-title")]
