@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quirelake.functions import text as X
 from quirelake.operators import hierarchy, layout, offsets, outline, reports, responses
 from quirelake.operators.nested import _as_list, whole_json
-from quirelake.session import table
+from quirelake.session import cut_lineage, table
 from quirelake.sources.files import content_hash
 
 #: Size in which the pages of page_lines are measured.
@@ -313,8 +313,13 @@ def collected_anchors(spark, sf):
 
 @query()
 def collected_fit(spark, sf):
-    """Offsets from collected anchors alone, without what the contents rows themselves say about pages of the file."""
-    return offsets.fit(_collected(spark, sf), _labels(spark, sf)).select("book", "numbering", "offset", F.to_json("segments").alias("segments"), "warning")
+    """Offsets from collected anchors alone, without what the contents rows themselves say about pages of the file.
+
+    The fit looks at the anchors many times; they are collected once, a few dozen rows a book.
+    """
+    anchors = cut_lineage(_collected(spark, sf).select("book", "numbering", "pdf_page", "offset"))
+    # labels of pages come from an explode, whose size Spark takes for too small to shuffle
+    return offsets.fit(anchors, _labels(spark, sf).hint("merge")).select("book", "numbering", "offset", F.to_json("segments").alias("segments"), "warning")
 
 
 # Full-width digits and spaces in their ordinary form, which is all that titles of digits need.

@@ -1,8 +1,12 @@
 """Joins of anchors whose sides look small to Spark and aren't: pieces of pages, collected texts, sampled pages."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirelake.operators import offsets
+from quirelake.plans import catalog
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -36,3 +40,14 @@ def test_collected_without_broadcast(stored):
     df = offsets.collected(sample, labels, stored("counts", [("a", 20), ("b", 20)], "book string, page_count int"), titles)
     assert "Broadcast" not in plan(df)
     assert sorted(map(tuple, df.collect())) == [("a", "arabic", p, p - 2, 2, "page-label") for p in (3, 4, 5)] + [("b", "arabic", 3, 1, 2, "page-label"), ("b", "arabic", 8, 5, 3, "chapter-title")]
+
+
+def test_collected_fit_collects_once(spark, rows):
+    df = catalog.collected_fit(spark, SF)
+    told = plan(df)
+    assert "toc_rows.parquet" not in told and told.count("page_lines.parquet") <= 1
+    anchors = catalog.collected_anchors(spark, SF)
+    held = spark.createDataFrame(anchors.collect(), anchors.schema)
+    labels = catalog.edge_page_labels(spark, SF).select("book", "numbering", F.col("page").alias("pdf_page"), F.col("value").alias("printed_page"))
+    wanted = offsets.fit(held, labels).select("book", "numbering", "offset", F.to_json("segments").alias("segments"), "warning")
+    assert rows(df) == rows(wanted) and df.count() > 0
